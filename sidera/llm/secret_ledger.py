@@ -69,12 +69,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     todo = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<int>"))).where(F.size("seen") < len(rules))
     chosen = todo.select(F.col("blob").alias("__tb"), "rep", "seen")
     once = versions.join(chosen, (F.col("blob") == F.col("__tb")) & F.col("path").eqNullSafe(F.col("rep"))).select("blob", "__text", "seen")
-    lower = F.lower("__text")
-    hits = [
-        F.when(~F.array_contains("seen", k) & _has(lower, r), F.transform(F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("k"), F.sha2(m, 256).alias("secret_sha")))).otherwise(F.array().cast("array<struct<k:int,secret_sha:string>>"))
-        for k, r in enumerate(rules)
-    ]
-    rows = once.select("blob", F.explode(F.flatten(F.array(*hits))).alias("hit")).select("blob", "hit.*")
+    lower, none = F.lower("__text"), F.array().cast("array<struct<k:int,secret_sha:string>>")
+
+    def hits(k: int, r: Rule) -> Column:
+        found = F.transform(F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0)), lambda m: F.struct(F.lit(k).alias("k"), F.sha2(m, 256).alias("secret_sha")))
+        return F.when(~F.array_contains("seen", k) & _has(lower, r), found).otherwise(none)
+
+    rows = once.select("blob", F.explode(F.flatten(F.array(*(hits(k, r) for k, r in enumerate(rules))))).alias("hit")).select("blob", "hit.*")
     # a repeated row of a path is scanned as often as it occurs, in equal parts
     copies = versions.groupBy(F.col("blob").alias("__cb"), F.col("path").alias("__cp")).agg(F.count("*").alias("copies")).where("copies > 1")
     reps = blobs.join(copies, (F.col("blob") == F.col("__cb")) & F.col("rep").eqNullSafe(F.col("__cp"))).select("blob", "copies")
