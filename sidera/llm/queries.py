@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidera.llm import language_id, mixing, prob_minhash, secret_ledger, sentencepiece_codec
+from sidera.llm import language_id, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan(table(spark, sf_dir, "documents"))[0]
 
@@ -35,5 +39,5 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_secret_scans, op5_language_id, op8_mixing, op9_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op4_secret_scans, op5_language_id, op8_mixing, op9_minhash_near_dedup)}
 ORACLES: dict[str, str] = {"op4_secret_scans": secret_ledger.oracle()}
