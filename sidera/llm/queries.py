@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidera.llm import language_id, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup
+from sidera.llm import language_id, lattice_hash, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_hash.pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs), keep=("lang",)).withColumn("kept", ~F.col("rejected"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.decide(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents"))
 
@@ -39,5 +47,5 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op4_secret_scans, op5_language_id, op8_mixing, op9_minhash_near_dedup)}
-ORACLES: dict[str, str] = {"op4_secret_scans": secret_ledger.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_substring_dedup, op4_secret_scans, op5_language_id, op7_url_filters, op8_mixing, op9_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op4_secret_scans": secret_ledger.oracle(), "op7_url_filters": url_filter.oracle()}
