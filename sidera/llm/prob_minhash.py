@@ -8,9 +8,10 @@ similarity J_P of their weighted shingles. A process ends as soon as its time pa
 document, as nothing later can change the signature.
 
 1. Documents with the same shingle multiset are found by a 128-bit digest and form a group at once; the least id goes on.
-2. Registers are hashed in `bands` bands of `rows`; those who share a band hash are compared with the least id there.
-   Who fails against it is compared with the least of those who failed, and so on until nobody is left, so every
-   member of every bucket is resolved; there is no cap on buckets or partners.
+2. Registers are hashed in `bands` bands of `rows`. Of those who share a band hash, in the order of their ids, each is
+   compared by its registers with the leaders so far: it is paired with the likeliest one whose estimate reaches the
+   threshold; if there is none, it is paired with all leaders within `SLACK` of it and leads too. So every member of
+   every bucket is resolved in one pass; there is no cap on buckets, leaders or partners.
 3. Every such pair is verified by the exact J_P of the two texts, at least `threshold`.
 4. Groups are the connected components of the verified pairs.
 
@@ -26,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidera.llm.common import GOLD, WORD, components, durable, hashed, mix64, steps
 
 SIZE, M, BANDS, ROWS, THRESHOLD = 2, 96, 24, 4, 0.6
+#: Three standard errors of an estimate from M registers.
+SLACK = 0.15
 
 
 def shingles(texts: list[str | None], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +102,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, m: int = M, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, digest binary, bands array<long>) of each row that has an id and at least one word."""
+    """(id, digest binary, bands array<long>, low binary) of each row that has an id and at least one word; low: a byte of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64) * GOLD)
@@ -110,14 +113,15 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             has = np.flatnonzero(np.diff(cut))
             both = np.stack([h, weight.astype(np.uint64)], 1)
             digest = [xxhash.xxh3_128_digest(both[cut[k] : cut[k + 1]].tobytes()) for k in has]
+            low = [who[k].astype(np.uint8).tobytes() for k in has]
             key = np.tile(salt, (len(has), 1))
             for r in range(rows):
                 key = mix64(key ^ who[has].reshape(len(has), -1)[:, r : bands * rows : rows])
             lists = pa.ListArray.from_arrays(np.arange(len(has) + 1, dtype=np.int32) * bands, key.astype(np.uint64).view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array(digest, pa.binary()), lists], ["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array(digest, pa.binary()), lists, pa.array(low, pa.binary())], ["id", "digest", "bands", "low"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, digest binary, bands array<long>")
+    return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, digest binary, bands array<long>, low binary")
 
 
 def verify(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -149,44 +153,92 @@ def verify(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col:
     return laid.mapInArrow(run, f"a {kind}, b {kind}, jp double").dropDuplicates(["a", "b"])
 
 
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """J_P by the share of equal registers, less the chance that other registers agree in the byte kept."""
+    return np.maximum(0.0, ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256))
+
+
+def _bucket(ids: list, low: np.ndarray, threshold: float) -> list[tuple]:
+    """The pairs of one bucket's members, who come in the order of their ids."""
+    out, leaders, table = [], [0], low[:1].copy()
+    room = 1
+    for k in range(1, len(ids)):
+        likely = _estimates(table[:room], low[k])
+        best = int(likely.argmax())
+        if likely[best] >= threshold:
+            out.append((ids[k], ids[leaders[best]]))
+            continue
+        out += [(ids[k], ids[leaders[j]]) for j in np.flatnonzero(likely >= threshold - SLACK)]
+        if room == len(table):
+            table = np.concatenate([table, np.zeros_like(table)])
+        table[room] = low[k]
+        leaders.append(k)
+        room += 1
+    return out
+
+
+def _lead(threshold: float):
+    """(a, b) of rows (slot, id, low) that come ordered by slot and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def solve(part: pa.Table) -> pa.RecordBatch:
+            slot = part.column("slot").to_numpy()
+            ids = part.column("id").to_pylist()
+            low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+            heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            size = np.diff(np.append(heads, len(slot)))
+            two = heads[size == 2]
+            near = two[_estimates(low[two], low[two + 1]) >= threshold - SLACK]
+            pairs = [(ids[k + 1], ids[k]) for k in near.tolist()]
+            for h, n in zip(heads[size > 2].tolist(), size[size > 2].tolist()):
+                pairs += _bucket(ids[h : h + n], low[h : h + n], threshold)
+            pairs = sorted(set(pairs))
+            kind = part.schema.field("id").type
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([y for _, y in pairs], kind)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            slot = part.column("slot")
+            last = slot[-1].as_py()
+            cut = int(np.searchsorted(slot.to_numpy(), last))
+            rest = part.slice(cut)
+            if cut:
+                yield solve(part.slice(0, cut))
+        if rest is not None:
+            yield solve(rest)
+
+    return run
+
+
+def candidates(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of the pairs to verify, of rows of sign() with distinct ids."""
+    kind = signed.schema["id"].dataType.simpleString()
+    slots = signed.select("id", F.explode("bands").alias("slot")).withColumn("n", F.count("*").over(Window.partitionBy("slot"))).where("n > 1")
+    rows = slots.select("id", "slot").distinct().join(signed.select("id", "low"), "id")
+    laid = rows.select("slot", "id", "low").repartition("slot").sortWithinPartitions("slot", "id")
+    return laid.mapInArrow(_lead(threshold), f"a {kind}, b {kind}").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SIZE, m: int = M, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, group_id, group_size) of every document in a group of two or more; group_id is the least id of the group."""
     assert bands * rows <= m
-    signed = durable(sign(docs, id_col, text_col, size, m, bands, rows).groupBy("id").agg(F.min(F.struct("digest", "bands")).alias("s")).select("id", "s.digest", "s.bands"))
-    same = signed.groupBy("digest").agg(F.min("id").alias("b"))
-    reps = same.select(F.col("b").alias("id"))
-    exact = signed.select(F.col("id").alias("a"), "digest").join(same, "digest").where("a <> b").select("a", "b")
-    slots = signed.join(reps, "id", "left_semi").select("id", F.explode("bands").alias("slot"))
-    slots = slots.withColumn("n", F.count("*").over(_over("slot"))).where("n > 1").select("id", "slot")
-    slots, found, done = durable(slots.distinct()), [], None
-    while True:
-        # the least of each bucket leads it, the others are its edges
-        led = slots.withColumn("b", F.min("id").over(_over("slot"))).where("id <> b")
-        edges = led.select(F.col("id").alias("a"), "b").distinct()
-        if done is not None:
-            edges = edges.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        edges = durable(edges)
-        if edges.isEmpty() and done is not None:
-            fresh = done.limit(0)
-        else:
-            fresh = durable(verify(docs, edges, id_col, text_col, size))
-        done = fresh if done is None else durable(done.unionByName(fresh))
-        found = done.where(F.col("jp") >= threshold)
-        passed = found.select(F.col("a").alias("id"), "b")
-        slots = durable(led.join(passed, ["id", "b"], "left_anti").select("id", "slot"))
-        if slots.groupBy("slot").count().where("count > 1").isEmpty():
-            break
+    first = sign(docs, id_col, text_col, size, m, bands, rows).groupBy("id").agg(F.min(F.struct("digest", "bands", "low")).alias("s"))
+    signed = durable(first.select("id", "s.*"))
+    same = signed.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n"))
+    exact = signed.select(F.col("id").alias("a"), "digest").join(same.where("n > 1"), "digest").where("a <> b").select("a", "b")
+    alone = signed.join(same.select(F.col("b").alias("id")), "id", "left_semi")
+    edges = durable(candidates(alone, threshold))
+    found = verify(docs, edges, id_col, text_col, size).where(F.col("jp") >= threshold)
     roots = durable(components(exact.unionByName(found.select("a", "b"))))
     sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     return roots.join(sizes, "root").select(F.col("id").alias(id_col), F.col("root").alias("group_id"), "group_size")
 
 
-def _over(col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(col)
-
-
 def stage(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group, the one of least id, and all documents in no group, with the columns that came in.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidera.llm import language_id, lattice_hash, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup, url_filter
+from sidera.llm import language_id, lattice_hash, mil_quality, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_substring_dedup, op4_secret_scans, op5_language_id, op7_url_filters, op8_mixing, op9_minhash_near_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil_quality.classify(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_substring_dedup, op4_secret_scans, op5_language_id, op7_url_filters, op8_mixing, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLES: dict[str, str] = {"op4_secret_scans": secret_ledger.oracle(), "op7_url_filters": url_filter.oracle()}
