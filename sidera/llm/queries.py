@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidera.llm import language_id, lattice_hash, mil_quality, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup, url_filter
+from sidera.llm import language_id, lattice_hash, local_descriptors, mil_quality, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs), keep=("lang",)).withColumn("kept", ~F.col("rejected"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has pictures: each embedding is drawn as one."""
+    return local_descriptors.copies(local_descriptors.pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decide(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -52,5 +57,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.classify(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_substring_dedup, op4_secret_scans, op5_language_id, op7_url_filters, op8_mixing, op9_minhash_near_dedup, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_substring_dedup, op4_secret_scans, op5_language_id, op6_media_columns, op7_url_filters, op8_mixing, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLES: dict[str, str] = {"op4_secret_scans": secret_ledger.oracle(), "op7_url_filters": url_filter.oracle()}
