@@ -59,11 +59,11 @@ def parse_all(c: Column) -> Column:
 
 
 def depth(pred: Column, gold: Column) -> Column:
-    """Levels that agree from A on: 0 to 4."""
+    """Levels that agree from A on: 0 to 4; null if either is."""
     out = F.lit(4)
     for k in reversed(range(4)):
         out = F.when(pred[LEVELS[k]] != gold[LEVELS[k]], F.lit(k)).otherwise(out)
-    return out
+    return F.when(pred.isNotNull() & gold.isNotNull(), out)
 
 
 def vocabulary(spark, size: int = 256) -> DataFrame:
