@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"\w+")
 #: Characters that one step of a vectorised kernel takes at once; a longer text is a step of its own.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -83,9 +83,9 @@ def blobs(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def pick_size(spark: SparkSession, per_partition: int, rows: int) -> int:
-    """As many partitions as the session shuffles into, or more where one would hold over per_partition rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns renamed __c0, __c1, ...: no name of an operator's own can clash with them."""
+    return df.toDF(*(f"__c{k}" for k in range(len(df.columns))))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -38,7 +38,7 @@ _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"
 class Words(dict):
     """Of the words seen lately: bucket of the word, of its shape, length and signs, in one number."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

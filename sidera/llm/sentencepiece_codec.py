@@ -106,7 +106,9 @@ class Codec:
     """Encodes and decodes with the pieces of one model file."""
 
     #: Distinct segments that are kept at once.
-    KEEP = 400_000
+    KEEP = 300_000
+    #: Characters of segments that are solved at once.
+    PIECE = 100_000
 
     def __init__(self, model: str):
         self.pieces = read_pieces(model)
@@ -208,7 +210,11 @@ class Codec:
         return out.astype(np.int32), np.bincount(owners, weights=width, minlength=len(raw)).astype(np.int64)
 
     def _learn(self, segments: list[str]) -> None:
-        ids, counts = self.solve(segments)
+        # a bounded number of bytes is solved at once: the lattice takes some hundred times as much
+        sizes = np.cumsum([len(s) for s in segments]) // self.PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(segments)]
+        solved = [self.solve(segments[a:b]) for a, b in zip(cuts, cuts[1:])]
+        ids, counts = (np.concatenate(x) for x in zip(*solved))
         known = len(self.at)
         self.at.update(zip(segments, range(known, known + len(segments))))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
