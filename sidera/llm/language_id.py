@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidera.llm.common import steps
+from sidera.llm.common import numbered, steps
 
 FEATURES = 1 << 13
 MOST_EXHAUSTIVE = 6
@@ -161,10 +161,10 @@ def identify(docs: DataFrame, model: Model, ambiguous_margin: float = 0.25, judg
     return source.mapInArrow(run, f"{kinds}, lang_id string, loss double, margin double, ambiguous boolean, rejected boolean")
 
 
-def stage(docs: DataFrame, **options) -> DataFrame:
+def stage(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows that are not rejected, with the columns that came in."""
-    model = train(docs)
-    at = "__row_id"
-    source = docs.withColumn(at, F.lit(0))
-    found = identify(source, model, id_col=at, keep=tuple(docs.columns), **options)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    model = train(docs, text_col=text_col)
+    plain = numbered(docs)
+    text = plain.columns[docs.columns.index(text_col)]
+    found = identify(plain.withColumn("__row", F.lit(0)), model, id_col="__row", text_col=text, keep=tuple(plain.columns), **options)
+    return found.where(~F.col("rejected")).select(*(F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns)))

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sidera.llm.common import numbered
+
 #: Rows of the table of borders up to which it is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 50_000
 BUCKET_ROWS = 1 << 14
@@ -101,10 +103,10 @@ def assign(docs: DataFrame, weights: dict[str, float] | None = None, max_share:
     tops = [(lo, hi, [int(x) for x in q]) for q, lo, hi in grow(drawn, 0, shards, seed, max(1, -(-shards // 256)))]
 
     def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in frames if names else ():
             for lo, hi, q in zip(frame.lo, frame.hi, frame.q):
                 leaves = list(grow(np.array(q, np.int64), int(lo), int(hi), seed))
-                yield pd.DataFrame({"__s": names * len(leaves), "shard": np.repeat([a for _, a, _ in leaves], len(names)), "n": np.concatenate([x for x, _, _ in leaves])} if names else {"__s": [], "shard": [], "n": []}).astype({"shard": "int32", "n": "int64"})
+                yield pd.DataFrame({"__s": names * len(leaves), "shard": np.repeat([a for _, a, _ in leaves], len(names)), "n": np.concatenate([x for x, _, _ in leaves])}).astype({"shard": "int32", "n": "int64"})
 
     tree = spark.createDataFrame(tops, "lo int, hi int, q array<bigint>").mapInPandas(subtrees, "__s string, shard int, n bigint")
     run = Window.partitionBy("__s").orderBy("shard")
@@ -133,6 +135,9 @@ def assign(docs: DataFrame, weights: dict[str, float] | None = None, max_share:
     return placed.withColumn("position", (F.row_number().over(local) - 1).cast("int")).select(*docs.columns, "shard", "position")
 
 
-def stage(docs: DataFrame, **options) -> DataFrame:
-    """The drawn rows, with the columns that came in."""
-    return assign(docs, **options).select(*docs.columns)
+def stage(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The drawn rows, laid out by shard and position, with the columns that came in."""
+    plain = numbered(docs)
+    name = dict(zip(docs.columns, plain.columns))
+    drawn = assign(plain, id_col=name[id_col], source_col=name[source_col], **options).sortWithinPartitions("shard", "position")
+    return drawn.select(*(F.col(p).alias(c) for c, p in name.items()))

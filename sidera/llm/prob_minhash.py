@@ -116,7 +116,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             low = [who[k].astype(np.uint8).tobytes() for k in has]
             key = np.tile(salt, (len(has), 1))
             for r in range(rows):
-                key = mix64(key ^ who[has].reshape(len(has), -1)[:, r : bands * rows : rows])
+                key = mix64(key ^ who[has, r : bands * rows : rows])
             lists = pa.ListArray.from_arrays(np.arange(len(has) + 1, dtype=np.int32) * bands, key.astype(np.uint64).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array(digest, pa.binary()), lists, pa.array(low, pa.binary())], ["id", "digest", "bands", "low"])
 

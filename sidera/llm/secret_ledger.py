@@ -90,9 +90,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
 
 
 def redact(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with every match of every rule replaced by [SECRET:rule]."""
+    """The text with every match of every rule replaced by [rule redacted]."""
     for r in rules:
-        text = F.regexp_replace(text, F.lit(r.pattern), F.lit(f"[SECRET:{r.rule_id}]"))
+        text = F.regexp_replace(text, F.lit(r.pattern), F.lit(f"[{r.rule_id} redacted]"))
     return text
 
 
