@@ -679,3 +679,74 @@ def validation_report(spark, sf):
 @query("select count(*) as n_sequences, count(*) filter (b) as n_with_unknown, round(1 - count(*) filter (b) / count(*)::double, 6) as coverage from (select user_id, bool_or(item_id not in (select item_id from items where p_partkey % 500 <> 0)) as b from numbered group by user_id)")
 def unknown_items(spark, sf):
     return quality.unknown_items(user_sequences(spark, sf), items(spark, sf).where("p_partkey % 500 <> 0"))
+
+
+# ---- further forms of the operators above
+
+@query("select 'count' as stat, count(p_size)::double as p_size, count(p_retailprice)::double as p_retailprice from part union all select 'mean', round(avg(p_size), 6), round(avg(p_retailprice), 6) from part union all select 'stddev', round(stddev_samp(p_size), 6), round(stddev_samp(p_retailprice), 6) from part union all select 'min', min(p_size), min(p_retailprice) from part union all select 'max', max(p_size), max(p_retailprice) from part", views=False)
+def describe_numeric(spark, sf):
+    columns = ["p_size", "p_retailprice"]
+    stats = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    one = table(spark, sf, "part").agg(*(F.round(f(c).cast("double"), 6).alias(f"{s}_{c}") for s, f in stats.items() for c in columns))
+    rows = F.array(*(F.struct(F.lit(s).alias("stat"), *(F.col(f"{s}_{c}").alias(c) for c in columns)) for s in stats))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("select event_type as arm, (event_id % 10)::int as step, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, count(value) as n_seeds from events group by all", views=False)
+def learning_curve(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("arm"), (F.col("event_id") % 10).cast("int").alias("step"), "value")
+    return statistics.over_seeds(e, ["arm", "step"], "value")
+
+
+@query("select p_partkey from (select p_partkey, row_number() over (order by (p_partkey * 2654435761 + 42) % 2147483648, p_partkey) as rn from part) where rn <= 50 order by p_partkey", views=False)
+def sample_then_sort(spark, sf):
+    return table(spark, sf, "part").select("p_partkey").orderBy(spread("p_partkey", 42), "p_partkey").limit(50).orderBy("p_partkey")
+
+
+@query("select item_id from (select distinct item_id from numbered except select item_id from items where p_partkey % 2 = 0)")
+def set_difference(spark, sf):
+    used = user_sequences(spark, sf).select(F.explode("sequence").alias("item_id")).distinct()
+    return used.join(items(spark, sf).where("p_partkey % 2 = 0").select("item_id"), "item_id", "left_anti")
+
+
+@query("select item_id from (select distinct item_id from numbered intersect select item_id from items where p_partkey % 2 = 0)")
+def set_intersection(spark, sf):
+    return user_sequences(spark, sf).select(F.explode("sequence").alias("item_id")).intersect(items(spark, sf).where("p_partkey % 2 = 0").select("item_id"))
+
+
+@query("select user_id, bool_or(item_id in (select item_id from items where p_partkey % 100 = 0)) as any_of from numbered group by user_id")
+def list_contains_any(spark, sf):
+    flat = user_sequences(spark, sf).select("user_id", F.explode("sequence").alias("item_id"))
+    some = items(spark, sf).where("p_partkey % 100 = 0").select("item_id", F.lit(True).alias("hit"))
+    return flat.join(some, "item_id", "left").groupBy("user_id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("any_of"))
+
+
+@query("select conv_id, list({'role': role, 'content': text} order by turn) as conversations, count(*) as turns, sum(len(string_split(text, ' ')))::bigint as tokens from conversations group by conv_id", views=False)
+def conversation_threads(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("tokens", F.size(X.words(F.col("text"))))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))))
+    return c.groupBy("conv_id").agg(F.transform(turns, lambda t: t["m"]).alias("conversations"), F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
+
+
+@query("select level, bucket, sum(n)::bigint as n_tokens from (select level, code as bucket, len(string_split(title, ' ')) as n from (select 'A' as level, A as code, title from sids union all select 'B', B, title from sids union all select 'C', C, title from sids)) group by all")
+def token_buckets(spark, sf):
+    stacked = sids(spark, sf).select(F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.col(x).alias("bucket")) for x in "ABC"))).alias("s"), F.size(X.words(F.col("title"))).alias("n"))
+    return stacked.groupBy("s.level", "s.bucket").agg(F.sum("n").alias("n_tokens"))
+
+
+@query("select a.item_id as item_id, a.title as title_a, b.title as title_b from sids a left join sids b on b.A = a.A and b.B = a.B and b.C = a.C and b.D = a.D + 1")
+def two_lookups(spark, sf):
+    a = sids(spark, sf).select("item_id", F.col("title").alias("title_a"), "A", "B", "C", "D")
+    b = sids(spark, sf).select("A", "B", "C", (F.col("D") - 1).cast("smallint").alias("D"), F.col("title").alias("title_b"))
+    return a.join(b, ["A", "B", "C", "D"], "left").select("item_id", "title_a", "title_b")
+
+
+@query()
+def descriptive_block(spark, sf):
+    return statistics.paired_bootstrap(ranking.beam_metrics(predictions(spark, sf)), "task", "sample_id", "rr", "ndcg", times=1000).select("task", "n", "delta", "lo", "hi")
+
+
+@query()
+def packed_sequences(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.sequence(F.lit(1), F.col("p_size")).alias("ids")).repartition(1)
+    return statistics.packed(rows, "p_partkey", "ids", 64)
