@@ -12,7 +12,7 @@ All corners above a part of the picture's own greatest measure count, and all me
 there is no cap on corners, entries or partners.
 
 Cases: a row with a null id, null or short bytes, a size under 8 or a null size is in no pair; neither is a picture of
-one grey; rows that repeat an id count once (the least picture); pairs are (lesser id, greater id), each once; of
+one grey; rows that repeat an id are pictures of one medium, whose corners count together and once each; pairs are (lesser id, greater id), each once; of
 transforms with equally many matches the first match's counts. Other columns are ignored.
 """
 
@@ -110,25 +110,34 @@ def describe(x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def consensus(m: np.ndarray) -> tuple[int, float, float]:
-    """(matches that agree on one transform, its scale, its rotation) of rows (ka, kb, xa, ya, sa, ta, xb, yb, sb, tb)."""
-    ratio = m[:, 4] / m[:, 8]  # a corner at a coarser scale lies in a larger picture
-    turn = m[:, 9] - m[:, 5]
+    """(matches that agree on one transform, its scale, its rotation) of rows (xa, ya, sa, ta, xb, yb, sb, tb)."""
+    ratio = m[:, 2] / m[:, 6]  # a corner at a coarser scale lies in a larger picture
+    turn = m[:, 7] - m[:, 3]
     cos, sin = np.cos(turn) * ratio, np.sin(turn) * ratio
     best = (0, 1.0, 0.0)
     for k in range(len(m)):
-        dx, dy = m[:, 2] - m[k, 2], m[:, 3] - m[k, 3]
-        off = np.hypot(m[k, 6] + cos[k] * dx - sin[k] * dy - m[:, 6], m[k, 7] + sin[k] * dx + cos[k] * dy - m[:, 7])
+        dx, dy = m[:, 0] - m[k, 0], m[:, 1] - m[k, 1]
+        off = np.hypot(m[k, 4] + cos[k] * dx - sin[k] * dy - m[:, 4], m[k, 5] + sin[k] * dx + cos[k] * dy - m[:, 5])
         bend = np.abs((turn - turn[k] + np.pi) % (2 * np.pi) - np.pi)
         ok = (off <= NEAR * max(1.0, ratio[k])) & (bend < 0.5) & (np.abs(np.log2(ratio / ratio[k])) < 0.6)
         # corners of one place count once, on either side
-        places = min(len(np.unique(np.rint(m[ok][:, [2, 3]] / 4), axis=0)), len(np.unique(np.rint(m[ok][:, [6, 7]] / 4), axis=0)))
+        places = min(len(np.unique(np.rint(m[ok][:, [0, 1]] / 4), axis=0)), len(np.unique(np.rint(m[ok][:, [4, 5]] / 4), axis=0)))
         if places > best[0]:
             best = (places, float(ratio[k]), float(turn[k]))
     return best
 
 
+#: A corner as it travels: place in 1/64 of a dot, scale and angle in steps, and the descriptor; 44 bytes.
+CORNER = np.dtype([("x", "<u4"), ("y", "<u4"), ("s", "u1"), ("t", "u1"), ("_", "<u2"), ("words", "<u4", 8)])
+
+
+def _geometry(c: np.ndarray) -> np.ndarray:
+    """(x, y, scale, angle) of corners."""
+    return np.stack([c["x"] / 64.0, c["y"] / 64.0, np.array(SCALES)[c["s"]], c["t"] * (2 * np.pi / 256)], 1).astype(np.float32)
+
+
 def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "k", "x", "y", "s", "t", "words"]
+    """(id, slot, corner): a row for each corner and table; a slot is a table's number and word."""
     for batch in batches:
         h, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w"))
         raw = batch.column("pixels").to_pylist()
@@ -139,27 +148,30 @@ def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = rows[lo : lo + step]
                 x = np.stack([np.frombuffer(raw[k], np.uint8, int(hh * ww)).reshape(hh, ww) for k in some])
                 i, s, px, py, t, words = describe(x)
-                order = np.argsort(i, kind="stable")
-                i, s, px, py, t, words = i[order].astype(np.int64), s[order], px[order], py[order], t[order], words[order]
-                number = np.arange(len(i)) - np.searchsorted(i, i)
-                ids = batch.column("id").take(pa.array(some[i]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), *(pa.array(v.astype(np.float32)) for v in (px, py, s, t)), pa.array([v.tobytes() for v in words], pa.binary())], names)
+                c = np.zeros(len(i), CORNER)
+                c["x"], c["y"], c["s"] = np.rint(px * 64), np.rint(py * 64), [SCALES.index(v) for v in s]
+                c["t"], c["words"] = np.rint(t / (2 * np.pi) * 256).astype(np.int64) % 256, words
+                made = [v.tobytes() for v in c]
+                ids = batch.column("id").take(pa.array(some[i.astype(np.int64)]))
+                for tab in range(TABLES):
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(words[:, tab].astype(np.int64) | tab << 32), pa.array(made, pa.binary())], ["id", "slot", "corner"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of rows that come ordered by (table, word): each pair of corners once, at the first table where it meets."""
+    """Matches of rows that come ordered by slot: each pair of corners once, at the first table where it meets."""
     names = ["a", "b", "m"]
     rest: pa.Table | None = None
 
     def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
         key = part.column("slot").to_numpy()
-        table = part.column("tab").to_numpy()
+        table = key >> 32
         ids = part.column("id")
         code, who = np.unique(np.array(ids.to_pylist()), return_inverse=True)
-        words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32).reshape(-1, 8)
+        corners = np.frombuffer(b"".join(part.column("corner").to_pylist()), CORNER)
+        words = np.ascontiguousarray(corners["words"])
         bits = np.bitwise_count
-        geo = np.stack([part.column(c).to_numpy().astype(np.float32) for c in ("k", "x", "y", "s", "t")], 1)
-        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])))
+        geo = _geometry(corners)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(heads, len(key)))
         left, right = [], []
 
@@ -186,7 +198,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         b = np.arange(h + i + 1, h + n)
                         check(np.full(len(b), h + i), b)
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        rows = np.concatenate([geo[a][:, :1], geo[b][:, :1], geo[a][:, 1:], geo[b][:, 1:]], 1)
+        rows = np.concatenate([geo[a], geo[b]], 1)
         for lo in range(0, len(a), 50_000):
             some = slice(lo, lo + 50_000)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[some])).combine_chunks(), ids.take(pa.array(b[some])).combine_chunks(), pa.array([v.tobytes() for v in rows[some]], pa.binary())], names)
@@ -196,9 +208,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         part = pa.Table.from_batches([batch])
         part = part if rest is None else pa.concat_tables([rest, part])
-        slot, tab = part.column("slot").to_numpy(), part.column("tab").to_numpy()
-        other = np.flatnonzero((slot != slot[-1]) | (tab != tab[-1]))
-        cut = int(other[-1]) + 1 if len(other) else 0
+        slot = part.column("slot").to_numpy()
+        cut = int(np.searchsorted(slot, slot[-1]))
         rest = part.slice(cut)
         if cut:
             yield from solve(part.slice(0, cut))
@@ -211,7 +222,7 @@ def _agree(least: int):
         for batch in batches:
             found = []
             for k, parts in enumerate(batch.column("ms").to_pylist()):
-                m = np.frombuffer(b"".join(sorted(parts)), np.float32).reshape(-1, 10).astype(float)
+                m = np.frombuffer(b"".join(sorted(parts)), np.float32).reshape(-1, 8).astype(float)
                 n, scale, turn = consensus(m)
                 if n >= least:
                     found.append((k, len(m), n, scale, float(np.degrees(turn))))
@@ -226,14 +237,10 @@ def copies(media: DataFrame, least: int = LEAST, id_col: str = "media_id", heigh
     """(a, b, matches, agreeing, scale, degrees) of the pairs of pictures with `least` agreeing matches."""
     m = media.select(F.col(id_col).alias("id"), F.col(height_col).alias("h"), F.col(width_col).alias("w"), F.col(pixels_col).alias("pixels"))
     m = m.where("id is not null and h >= 8 and w >= 8 and pixels is not null and length(pixels) >= cast(h as bigint) * w")
-    m = m.groupBy("id").agg(F.min(F.struct("h", "w", "pixels")).alias("p")).select("id", "p.*")
     kind = m.schema["id"].dataType.simpleString()
-    corners = m.mapInArrow(_corners, f"id {kind}, k int, x float, y float, s float, t float, words binary")
-    word = F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda i: F.substring(F.col("words"), i * 4 + 1, F.lit(4)))
-    rows = corners.select("*", F.posexplode(word).alias("tab", "bytes")).withColumn("slot", F.conv(F.hex("bytes"), 16, 10).cast("bigint")).drop("bytes")
-    laid = rows.repartition("tab", "slot").sortWithinPartitions("tab", "slot", "id", "k")
+    laid = m.mapInArrow(_corners, f"id {kind}, slot bigint, corner binary").repartition("slot").sortWithinPartitions("slot", "id")
     matches = laid.mapInArrow(_compare, f"a {kind}, b {kind}, m binary")
-    return matches.groupBy("a", "b").agg(F.collect_list("m").alias("ms")).where(F.size("ms") >= least).mapInArrow(_agree(least), f"a {kind}, b {kind}, matches int, agreeing int, scale double, degrees double")
+    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("ms")).where(F.size("ms") >= least).mapInArrow(_agree(least), f"a {kind}, b {kind}, matches int, agreeing int, scale double, degrees double")
 
 
 def pictures(vectors: DataFrame, side: int = 8, factor: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -213,8 +213,9 @@ def test_pictures_against_all_pairs(spark):
     for a in range(len(pictures)):
         for b in range(a + 1, len(pictures)):
             x, y = found[a], found[b]
-            i, j = np.nonzero((np.bitwise_count(x[5][:, None] ^ y[5][None]).sum(2) <= local_descriptors.MOST_BITS) & (x[5][:, None, : local_descriptors.TABLES] == y[5][None, :, : local_descriptors.TABLES]).any(2))
-            m = np.stack([i, j, x[2][i], x[3][i], x[1][i], x[4][i], y[2][j], y[3][j], y[1][j], y[4][j]], 1)
+            near = np.bitwise_count(x[5][:, None] ^ y[5][None]).sum(2) <= local_descriptors.MOST_BITS
+            i, j = np.nonzero(near & (x[5][:, None, : local_descriptors.TABLES] == y[5][None, :, : local_descriptors.TABLES]).any(2))
+            m = np.stack([x[2][i], x[3][i], x[1][i], x[4][i], y[2][j], y[3][j], y[1][j], y[4][j]], 1)
             n = local_descriptors.consensus(m)[0] if len(m) else 0
             assert ((a, b) in got) == (n >= local_descriptors.LEAST) and ((a, b) not in got or got[a, b][0] == len(m))
 
