@@ -145,3 +145,9 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES
     twins = reps.where("n > 1").select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("cosine")).where("x < y")
     every = wide.unionByName(twins) if threshold <= 1 else wide
     return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+
+
+def oracle(threshold: float = THRESHOLD, table: str = "embeddings", id_col: str = "vec_id", vector_col: str = "embedding") -> str:
+    """All pairs by brute force in DuckDB's SQL: what pairs() gives at full recall."""
+    one = f"(select {id_col} as id, {vector_col}::double[] as v from {table})"
+    return f"select x.id as a, y.id as b, round(list_cosine_similarity(x.v, y.v), 6) as cosine from {one} x join {one} y on x.id < y.id where list_cosine_similarity(x.v, y.v) >= {threshold}"

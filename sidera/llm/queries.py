@@ -19,7 +19,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_hash.pairs(table(spark, sf_dir, "embeddings"))
+    return lattice_hash.pairs(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_substring_dedup, op4_secret_scans, op5_language_id, op6_media_columns, op7_url_filters, op8_mixing, op9_minhash_near_dedup, op10_quality_classifier)}
-ORACLES: dict[str, str] = {"op4_secret_scans": secret_ledger.oracle(), "op7_url_filters": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": lattice_hash.oracle(), "op4_secret_scans": secret_ledger.oracle(), "op7_url_filters": url_filter.oracle()}
