@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from sidera.llm.common import WORD, durable, hashed, mix64, steps
 
 BASE = 25
+#: Windows that a task gathers before it packs them, some 20 bytes each.
+HELD = 400_000
 _B = 0xD6E8FEB86659FD93  # odd, hence invertible
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -100,6 +102,25 @@ def pack(h: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int) -> pa.R
 PACKED = "bucket int, docs binary, counts binary, pos binary, h binary"
 
 
+class Packer:
+    """Gathers the windows of several steps before they are packed, so that a row of a bucket holds many of them
+    where buckets are many too."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.size = buckets, [], 0
+
+    def add(self, h: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((h, docs, pos))
+        self.size += len(h)
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield pack(*(np.concatenate(x) for x in zip(*self.parts)), self.buckets)
+        self.parts, self.size = [], 0
+
+
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, document, position) of all entries of a bucket."""
 
@@ -144,6 +165,7 @@ def _room(offsets: np.ndarray, length: int, total: int) -> np.ndarray:
 
 def base_level(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
         for batch in steps(batches, "__text"):
             flat, offsets, ids = _read(batch)
             h = windows(prefix(flat), BASE)
@@ -153,7 +175,8 @@ def base_level(docs: DataFrame, buckets: int) -> DataFrame:
             owner = np.searchsorted(offsets, at, side="right") - 1
             long = np.diff(offsets)[owner] >= 2 * BASE
             at, owner = at[long], owner[long]
-            yield pack(h[at], ids[owner], at - offsets[owner], buckets)
+            yield from packer.add(h[at], ids[owner], at - offsets[owner])
+        yield from packer.flush()
 
     return docs.mapInArrow(run, PACKED)
 
@@ -162,7 +185,12 @@ def later_levels(docs: DataFrame, buckets: int) -> DataFrame:
     """PACKED rows of level 2 * BASE (id null), and (id, level, pos, h) of the chosen windows of later levels (bucket null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*"bucket docs counts pos h".split(), "id", "level"]
+        names, packer = [*"bucket docs counts pos h".split(), "id", "level"], Packer(buckets)
+
+        def wide_rows(packed: pa.RecordBatch) -> pa.RecordBatch:
+            n = packed.num_rows
+            return pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names)
+
         for batch in steps(batches, "__text"):
             flat, offsets, ids = _read(batch)
             sums = prefix(flat)
@@ -178,9 +206,7 @@ def later_levels(docs: DataFrame, buckets: int) -> DataFrame:
             room = _room(offsets, 2 * BASE, len(flat))
             at = np.flatnonzero((np.cumsum(edge)[: len(wide)] > 0) & room)
             owner = np.searchsorted(offsets, at, side="right") - 1
-            packed = pack(wide[at], ids[owner], at - offsets[owner], buckets)
-            none = packed.num_rows
-            yield pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32())], names)
+            yield from map(wide_rows, packer.add(wide[at], ids[owner], at - offsets[owner]))
             length, out = 4 * BASE, [[], [], [], []]
             longest = int(np.diff(offsets).max(initial=0))
             while length <= longest:
@@ -195,6 +221,7 @@ def later_levels(docs: DataFrame, buckets: int) -> DataFrame:
                 length *= 2
             n = len(out[0])
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], names)
+        yield from map(wide_rows, packer.flush())
 
     return docs.mapInArrow(run, f"{PACKED}, id bigint, level int")
 
