@@ -2,12 +2,14 @@
 
 A media row is a grey picture: height, width and its bytes row by row. On each scale of a pyramid corners are the local
 maxima of the Harris measure; each corner's direction is that of the intensity centroid around it, and its descriptor
-is 256 comparisons of smoothed intensities at point pairs turned to that direction. Six of a descriptor's eight
-words of 32 bits are keys of Hamming tables: corners of two pictures that share a word at one table are compared in full
-and match up to MOST_BITS differing bits (all within 5 bits share a word for sure). A match of two corners implies a
+is 256 comparisons of smoothed intensities at point pairs turned to that direction. A descriptor's eight
+words of 32 bits are keys of eight Hamming tables: corners of two pictures that share a word at one table are compared
+in full and match up to MOST_BITS differing bits (all within 7 bits share a word for sure). A match of two corners implies a
 similarity transform by their scales, directions and places; two pictures are copies if `least` matches with corners
 distinct on both sides agree on one transform. So copies that are cropped, scaled, turned or edited in part are found.
 
+Corners and matches travel packed by column and bucket, and each bucket is sorted in NumPy. Ids are whole numbers.
+
 All corners above a part of the picture's own greatest measure count, and all members of a table's entry are compared:
 there is no cap on corners, entries or partners.
 
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sidera.llm.common import mix64
+
 SCALES = (1.0, 0.6)
-RADIUS, BITS, TURNS, MOST_BITS, SHARE, LEAST, NEAR = 13, 256, 36, 44, 0.02, 4, 3.0
+RADIUS, BITS, TURNS, MOST_BITS, SHARE, LEAST, NEAR = 13, 256, 36, 24, 0.02, 4, 3.0
 #: Words of a descriptor that have a table.
-TABLES = 6
+TABLES = 8
 PAD = RADIUS + 3
 
 
@@ -127,61 +131,95 @@ def consensus(m: np.ndarray) -> tuple[int, float, float]:
     return best
 
 
-#: A corner as it travels: place in 1/64 of a dot, scale and angle in steps, and the descriptor; 44 bytes.
-CORNER = np.dtype([("x", "<u4"), ("y", "<u4"), ("s", "u1"), ("t", "u1"), ("_", "<u2"), ("words", "<u4", 8)])
+#: Where a corner lies and how, in 1/64 of a dot and in steps of scale and angle.
+PLACE = np.dtype([("x", "<u4"), ("y", "<u4"), ("s", "u1"), ("t", "u1")])
+#: Entries that a task gathers before it packs them.
+HELD = 200_000
 
 
 def _geometry(c: np.ndarray) -> np.ndarray:
     """(x, y, scale, angle) of corners."""
-    return np.stack([c["x"] / 64.0, c["y"] / 64.0, np.array(SCALES)[c["s"]], c["t"] * (2 * np.pi / 256)], 1).astype(np.float32)
-
-
-def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, slot, corner): a row for each corner and table; a slot is a table's number and word."""
-    for batch in batches:
-        h, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w"))
-        raw = batch.column("pixels").to_pylist()
-        for hh, ww in np.unique(np.stack([h, w], 1), axis=0):
-            rows = np.flatnonzero((h == hh) & (w == ww))
-            step = max(1, 400_000 // int(hh * ww))
-            for lo in range(0, len(rows), step):
-                some = rows[lo : lo + step]
-                x = np.stack([np.frombuffer(raw[k], np.uint8, int(hh * ww)).reshape(hh, ww) for k in some])
-                i, s, px, py, t, words = describe(x)
-                c = np.zeros(len(i), CORNER)
-                c["x"], c["y"], c["s"] = np.rint(px * 64), np.rint(py * 64), [SCALES.index(v) for v in s]
-                c["t"], c["words"] = np.rint(t / (2 * np.pi) * 256).astype(np.int64) % 256, words
-                made = [v.tobytes() for v in c]
-                ids = batch.column("id").take(pa.array(some[i.astype(np.int64)]))
-                for tab in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(words[:, tab].astype(np.int64) | tab << 32), pa.array(made, pa.binary())], ["id", "slot", "corner"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of rows that come ordered by slot: each pair of corners once, at the first table where it meets."""
-    names = ["a", "b", "m"]
-    rest: pa.Table | None = None
-
-    def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = part.column("slot").to_numpy()
-        table = key >> 32
-        ids = part.column("id")
-        code, who = np.unique(np.array(ids.to_pylist()), return_inverse=True)
-        corners = np.frombuffer(b"".join(part.column("corner").to_pylist()), CORNER)
-        words = np.ascontiguousarray(corners["words"])
-        bits = np.bitwise_count
-        geo = _geometry(corners)
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return np.stack([c["x"] / 64.0, c["y"] / 64.0, np.array(SCALES)[c["s"]], c["t"] * (2 * np.pi / 256)], 1)
+
+
+def _columns(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """(bucket, each column's bytes) with a row for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(bucket))
+    out = {"bucket": pa.array(bucket[heads].astype(np.int32))}
+    for name, v in columns.items():
+        v = v[order]
+        out[name] = pa.array([v[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())
+    return pa.table(out)
+
+
+def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+CORNERS = "bucket int, id binary, tab binary, place binary, words binary"
+MATCHES = "bucket int, a binary, b binary, pa binary, pb binary"
+
+
+def _corners(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            ids, place, words = (np.concatenate(v) for v in zip(*held))
+            n = len(ids)
+            tab = np.repeat(np.arange(TABLES, dtype=np.uint8), n)
+            slot = mix64(words.T[:TABLES].ravel().astype(np.uint64) | tab.astype(np.uint64) << np.uint64(32))
+            columns = {"id": np.tile(ids, TABLES), "tab": tab, "place": np.tile(place, TABLES), "words": np.tile(words, (TABLES, 1))}
+            yield from _columns((slot % np.uint64(buckets)).astype(np.int64), columns).to_batches()
+
+        for batch in batches:
+            h, w, ids = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w", "id"))
+            raw = batch.column("pixels").to_pylist()
+            for hh, ww in np.unique(np.stack([h, w], 1), axis=0):
+                rows = np.flatnonzero((h == hh) & (w == ww))
+                step = max(1, 400_000 // int(hh * ww))
+                for lo in range(0, len(rows), step):
+                    some = rows[lo : lo + step]
+                    x = np.stack([np.frombuffer(raw[k], np.uint8, int(hh * ww)).reshape(hh, ww) for k in some])
+                    i, s, px, py, t, words = describe(x)
+                    c = np.zeros(len(i), PLACE)
+                    c["x"], c["y"], c["s"] = np.rint(px * 64), np.rint(py * 64), [SCALES.index(v) for v in s]
+                    c["t"] = np.rint(t / (2 * np.pi) * 256).astype(np.int64) % 256
+                    held.append((ids[some[i.astype(np.int64)]], c, words))
+                    size += len(i) * TABLES
+                    if size >= HELD:
+                        yield from packed()
+                        held, size = [], 0
+        if held:
+            yield from packed()
+
+    return run
+
+
+def _compare(buckets: int):
+    """Matches of the corners of a bucket: each pair of corners once, at the first table where it meets."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids, tab, place = _whole(table, "id", np.int64), _whole(table, "tab", np.uint8), _whole(table, "place", PLACE)
+        words = _whole(table, "words", np.uint32).reshape(-1, 8)
+        key = words[np.arange(len(ids)), tab].astype(np.int64) | tab.astype(np.int64) << 32
+        order = np.argsort(key, kind="stable")
+        ids, tab, place, words, key = ids[order], tab[order].astype(np.int64), place[order], words[order], key[order]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(heads, len(key)))
         left, right = [], []
 
         def check(a: np.ndarray, b: np.ndarray) -> None:
-            a, b = a[who[a] != who[b]], b[who[a] != who[b]]
-            same = words[a, :TABLES] == words[b, :TABLES]
-            first = same.argmax(1) == table[a]
+            other = ids[a] != ids[b]
+            a, b = a[other], b[other]
+            first = (words[a, :TABLES] == words[b, :TABLES]).argmax(1) == tab[a]
             a, b = a[first], b[first]
-            ok = bits(words[a] ^ words[b]).sum(1) <= MOST_BITS
-            swap = who[a[ok]] > who[b[ok]]
+            ok = np.bitwise_count(words[a] ^ words[b]).sum(1) <= MOST_BITS
+            swap = ids[a[ok]] > ids[b[ok]]
             left.append(np.where(swap, b[ok], a[ok]))
             right.append(np.where(swap, a[ok], b[ok]))
 
@@ -195,52 +233,43 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 for h in at:
                     for i in range(int(n) - 1):
-                        b = np.arange(h + i + 1, h + n)
-                        check(np.full(len(b), h + i), b)
+                        check(np.full(int(n) - i - 1, h + i), np.arange(h + i + 1, h + n))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        rows = np.concatenate([geo[a], geo[b]], 1)
-        for lo in range(0, len(a), 50_000):
-            some = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[some])).combine_chunks(), ids.take(pa.array(b[some])).combine_chunks(), pa.array([v.tobytes() for v in rows[some]], pa.binary())], names)
+        pair = mix64(ids[a].astype(np.uint64) * np.uint64(0x100000001B3) + mix64(ids[b].astype(np.uint64)))
+        return _columns((pair % np.uint64(buckets)).astype(np.int64), {"a": ids[a], "b": ids[b], "pa": place[a], "pb": place[b]})
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = pa.Table.from_batches([batch])
-        part = part if rest is None else pa.concat_tables([rest, part])
-        slot = part.column("slot").to_numpy()
-        cut = int(np.searchsorted(slot, slot[-1]))
-        rest = part.slice(cut)
-        if cut:
-            yield from solve(part.slice(0, cut))
-    if rest is not None:
-        yield from solve(rest)
+    return solve
 
 
 def _agree(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for k, parts in enumerate(batch.column("ms").to_pylist()):
-                m = np.frombuffer(b"".join(sorted(parts)), np.float32).reshape(-1, 8).astype(float)
-                n, scale, turn = consensus(m)
-                if n >= least:
-                    found.append((k, len(m), n, scale, float(np.degrees(turn))))
-            k, matches, n, scale, turn = zip(*found) if found else ((), (), (), (), ())
-            at = pa.array(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(matches, pa.int32()), pa.array(n, pa.int32()), pa.array(scale, pa.float64()), pa.array(turn, pa.float64())], ["a", "b", "matches", "agreeing", "scale", "degrees"])
-
-    return run
+    """The pairs of a bucket whose matches agree; a match that came twice counts once."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows = np.rec.fromarrays([_whole(table, "a", np.int64), _whole(table, "b", np.int64), _whole(table, "pa", PLACE), _whole(table, "pb", PLACE)], names="a,b,pa,pb")
+        order = np.lexsort((rows.b, rows.a))
+        rows = rows[order]
+        heads = np.flatnonzero(np.append(True, (rows.a[1:] != rows.a[:-1]) | (rows.b[1:] != rows.b[:-1]))) if len(rows) else np.zeros(0, np.int64)
+        size = np.diff(np.append(heads, len(rows)))
+        out: list[tuple] = []
+        for h, n in zip(heads[size >= least].tolist(), size[size >= least].tolist()):
+            m = np.unique(np.concatenate([_geometry(rows.pa[h : h + n]), _geometry(rows.pb[h : h + n])], 1), axis=0)
+            agreeing, scale, turn = consensus(m)
+            if agreeing >= least:
+                out.append((int(rows.a[h]), int(rows.b[h]), len(m), agreeing, scale, float(np.degrees(turn))))
+        kinds = {"a": pa.int64(), "b": pa.int64(), "matches": pa.int32(), "agreeing": pa.int32(), "scale": pa.float64(), "degrees": pa.float64()}
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(kinds.items())})
+
+    return solve
 
 
 def copies(media: DataFrame, least: int = LEAST, id_col: str = "media_id", height_col: str = "height", width_col: str = "width", pixels_col: str = "pixels") -> DataFrame:
     """(a, b, matches, agreeing, scale, degrees) of the pairs of pictures with `least` agreeing matches."""
-    m = media.select(F.col(id_col).alias("id"), F.col(height_col).alias("h"), F.col(width_col).alias("w"), F.col(pixels_col).alias("pixels"))
+    buckets = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = media.select(F.col(id_col).cast("bigint").alias("id"), F.col(height_col).alias("h"), F.col(width_col).alias("w"), F.col(pixels_col).alias("pixels"))
     m = m.where("id is not null and h >= 8 and w >= 8 and pixels is not null and length(pixels) >= cast(h as bigint) * w")
-    kind = m.schema["id"].dataType.simpleString()
-    laid = m.mapInArrow(_corners, f"id {kind}, slot bigint, corner binary").repartition("slot").sortWithinPartitions("slot", "id")
-    matches = laid.mapInArrow(_compare, f"a {kind}, b {kind}, m binary")
-    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("ms")).where(F.size("ms") >= least).mapInArrow(_agree(least), f"a {kind}, b {kind}, matches int, agreeing int, scale double, degrees double")
+    corners = m.mapInArrow(_corners(buckets), CORNERS)
+    matches = corners.groupBy("bucket").applyInArrow(_compare(buckets), MATCHES)
+    return matches.groupBy("bucket").applyInArrow(_agree(least), "a bigint, b bigint, matches int, agreeing int, scale double, degrees double")
 
 
 def pictures(vectors: DataFrame, side: int = 8, factor: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
