@@ -156,7 +156,7 @@ def labelled(parts: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("\n", *(F.when(ensure_text(c) != "", F.concat(F.lit(f"{name}: "), ensure_text(c))) for name, c in parts))
 
 
-def first_existing(df: DataFrame, names: list[str], required: bool = True) -> str | None:
+def first_existing(df: DataFrame, names: list[str], *, required: bool = True):
     found = next((n for n in names if n in df.columns), None)
     if found is None and required:
         raise ValueError(f"no column of {names}")

@@ -68,8 +68,8 @@ def sample_by_category(items: DataFrame, rank: Column, frac: float, at_least: in
 
 def merge(items: DataFrame, cleaned: DataFrame, metadata: DataFrame, ordinal: str = "ordinal", key: str = "parent_asin") -> DataFrame:
     """items with the latest cleaned texts (inner) and the latest metadata (left); blanks and NA are null, empty lists too."""
-    c = latest_by_key(cleaned, key, ordinal).select(key, *(X.na_to_null(F.col(n)).alias(n) for n in ("clean_title", "clean_description")), empty_to_null(F.col("clean_features")).alias("clean_features"))
-    columns = [x for x in ("product_type", "pet_species", "life_stage", "primary_use_case", "material_or_active") if x in metadata.columns]
+    c = latest_by_key(cleaned, key, ordinal).select(key, *(X.na_to_null(F.col(n)).alias(n) for n in ("clean_title", "clean_description")), *(empty_to_null(F.col(n)).alias(n) for n in ("clean_features",)))
+    columns = [x for x in "product_type pet_species life_stage primary_use_case material_or_active".split() if x in metadata.columns]
     m = latest_by_key(metadata, key, ordinal).select(key, *columns)
     return items.join(c, key, "inner").join(m, key, "left")
 

@@ -11,7 +11,7 @@ LEVELS = "ABCD"
 START, END = "<|sid_start|>", "<|sid_end|>"
 STRICT = r"<\|sid_start\|>" + "".join(rf"<\|{x}(\d+)\|>" for x in LEVELS) + r"<\|sid_end\|>"
 BARE = "".join(rf"<\|{x}(\d+)\|>" for x in LEVELS)
-LOOSE = r"<\|sid_start\|>(?:<\|[ABCD]\d+\|>)+<\|sid_end\|>"
+LOOSE = r"<\|sid_start\|>(?:" + rf"<\|[{LEVELS}]\d+\|>" + r")+<\|sid_end\|>"
 
 
 def assign_d(df: DataFrame, key: str) -> DataFrame:

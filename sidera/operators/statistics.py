@@ -18,13 +18,13 @@ def bonferroni(alpha: float = ALPHA, contrasts: int = CONTRASTS) -> float:
     return alpha / contrasts
 
 
-def resampled_means(x: np.ndarray, times: int, rng: np.random.Generator) -> np.ndarray:
+def resampled_means(x: np.ndarray, times: int, rng) -> np.ndarray:
     step = max(1, STEP // max(1, len(x)))
     return np.concatenate([x[rng.integers(0, len(x), (min(step, times - k), len(x)))].mean(1) for k in range(0, times, step)])
 
 
 def interval(values: np.ndarray, alpha: float) -> tuple[float, float, bool]:
-    lo, hi = np.percentile(values, [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    lo, hi = np.quantile(values, (alpha / 2, 1 - alpha / 2))
     return float(lo), float(hi), bool(lo > 0 or hi < 0)
 
 
@@ -32,7 +32,7 @@ def p_value(deltas: np.ndarray) -> float:
     return float(min(1.0, 2 * min((deltas >= 0).mean(), (deltas <= 0).mean()))) if len(deltas) else 1.0
 
 
-def bootstrap_ci(df: DataFrame, group: str, value: str, times: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, group: str, value: str, ci: float = 0.95, times: int = 1000, seed: int = 42) -> DataFrame:
     """(group, n, mean, lo, hi) by the percentile bootstrap; the ends are the sorted means at int(a * times) and int((1 - a) * times)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -267,7 +267,7 @@ _SID = "item_id, A, B, C, D"
 
 @query(f"select {_SID} from sids")
 def sid_assign_d(spark, sf):
-    return sids(spark, sf).select("item_id", "A", "B", "C", "D")
+    return sids(spark, sf).select("item_id", *semantic_ids.LEVELS)
 
 
 @query("select item_id, sid from sids")
@@ -736,9 +736,9 @@ def token_buckets(spark, sf):
 
 @query("select a.item_id as item_id, a.title as title_a, b.title as title_b from sids a left join sids b on b.A = a.A and b.B = a.B and b.C = a.C and b.D = a.D + 1")
 def two_lookups(spark, sf):
-    a = sids(spark, sf).select("item_id", F.col("title").alias("title_a"), "A", "B", "C", "D")
+    a = sids(spark, sf).select("item_id", F.col("title").alias("title_a"), *semantic_ids.LEVELS)
     b = sids(spark, sf).select("A", "B", "C", (F.col("D") - 1).cast("smallint").alias("D"), F.col("title").alias("title_b"))
-    return a.join(b, ["A", "B", "C", "D"], "left").select("item_id", "title_a", "title_b")
+    return a.join(b, list(semantic_ids.LEVELS), "left").select("item_id", "title_a", "title_b")
 
 
 @query()

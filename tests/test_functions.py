@@ -31,7 +31,7 @@ def each(spark, column, values=TEXTS, kind="string"):
         (X.words, lambda t: None if t is None else t.split(" ")),
         (X.prefix_words, lambda t: None if t is None else " ".join(t.split(" ")[:6])),
         (X.middle_words, lambda t: None if t is None else " ".join((w := t.split(" "))[max(len(w) // 2 - 2, 0) :][:4])),
-        (X.snippets, lambda t: None if t is None else [t[i : i + 50] for i in (50, 100, 200) if len(t) >= i + 60 and len(t[i : i + 50].strip()) >= 10]),
+        (X.snippets, lambda t: None if t is None else [s for i, s in ((k, t[k:][:50]) for k in (50, 100, 200)) if i + 60 <= len(t) and len(s.strip()) > 9]),
         (X.category_path, lambda t: [p.strip() for p in (t or "").strip().split(">") if p.strip()]),
         (X.alnum_words, lambda t: None if t is None else re.findall("[a-z0-9]+", t.lower())),
         (lambda c: X.second_level(c), lambda t: None if t is None else (t.split(" > ") + [t.split(" > ")[0]])[1 if " > " in t else 0]),
@@ -47,8 +47,10 @@ def test_text(spark, column, twin):
 
 def test_tokens(spark):
     def twin(t):
-        t = re.sub(r"[\"()\[\]{}<>]", " ", t.lower().strip())
-        return [w for w in re.sub(r"\s+", " ", re.sub(r"([.,!?;:])\s", r" \1 ", t)).split() if w]
+        spaced = "".join(" " if ch in "\"()[]{}<>" else ch for ch in t.lower().strip())
+        for sign in ".,!?;:":
+            spaced = spaced.replace(f"{sign} ", f" {sign} ")
+        return spaced.split()
 
     values = [t for t in TEXTS if t is not None]
     assert each(spark, X.tokens, values) == [twin(t) for t in values]
@@ -67,7 +69,7 @@ def test_lists(spark):
     kind = "array<string>"
     assert each(spark, lambda c: A.tail(c, 3), LISTS, kind) == [x[-3:] for x in LISTS]
     for w in (2, 4):
-        want = [[(x[i], x[j]) for i in range(len(x) - 1) for j in range(i + 1, min(i + w + 1, len(x)))] for x in LISTS]
+        want = [[(x[i], x[j]) for i in range(len(x) - 1) for j in range(len(x)) if i < j <= i + w] for x in LISTS]
         assert [[tuple(p) for p in r] for r in each(spark, lambda c: A.forward_pairs(c, w), LISTS, kind)] == want
     assert each(spark, A.split_points, LISTS, kind) == [list(range(2, len(x))) for x in LISTS]
     assert each(spark, lambda c: A.others(c, F.lit("a")), LISTS, kind) == [[y for y in x if y != "a"][:5] for x in LISTS]
