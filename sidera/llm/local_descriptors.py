@@ -118,16 +118,20 @@ def consensus(m: np.ndarray) -> tuple[int, float, float]:
     ratio = m[:, 2] / m[:, 6]  # a corner at a coarser scale lies in a larger picture
     turn = m[:, 7] - m[:, 3]
     cos, sin = np.cos(turn) * ratio, np.sin(turn) * ratio
+    codes = [np.unique(np.rint(m[:, c] / 4), axis=0, return_inverse=True)[1].ravel() for c in ([0, 1], [4, 5])]
+    marks = [(c[:, None] == np.arange(c.max(initial=-1) + 1)).astype(np.float32) for c in codes]
     best = (0, 1.0, 0.0)
-    for k in range(len(m)):
-        dx, dy = m[:, 0] - m[k, 0], m[:, 1] - m[k, 1]
-        off = np.hypot(m[k, 4] + cos[k] * dx - sin[k] * dy - m[:, 4], m[k, 5] + sin[k] * dx + cos[k] * dy - m[:, 5])
-        bend = np.abs((turn - turn[k] + np.pi) % (2 * np.pi) - np.pi)
-        ok = (off <= NEAR * max(1.0, ratio[k])) & (bend < 0.5) & (np.abs(np.log2(ratio / ratio[k])) < 0.6)
+    for lo in range(0, len(m), 256):  # so many transforms at once, each against all matches
+        k = slice(lo, lo + 256)
+        dx, dy = m[None, :, 0] - m[k, None, 0], m[None, :, 1] - m[k, None, 1]
+        off = np.hypot(m[k, None, 4] + cos[k, None] * dx - sin[k, None] * dy - m[None, :, 4], m[k, None, 5] + sin[k, None] * dx + cos[k, None] * dy - m[None, :, 5])
+        bend = np.abs((turn[None] - turn[k, None] + np.pi) % (2 * np.pi) - np.pi)
+        ok = (off <= NEAR * np.maximum(1.0, ratio[k, None])) & (bend < 0.5) & (np.abs(np.log2(ratio[None] / ratio[k, None])) < 0.6)
         # corners of one place count once, on either side
-        places = min(len(np.unique(np.rint(m[ok][:, [0, 1]] / 4), axis=0)), len(np.unique(np.rint(m[ok][:, [4, 5]] / 4), axis=0)))
-        if places > best[0]:
-            best = (places, float(ratio[k]), float(turn[k]))
+        places = np.minimum(*(((ok.astype(np.float32) @ x) > 0).sum(1) for x in marks))
+        top = int(places.argmax())
+        if places[top] > best[0]:
+            best = (int(places[top]), float(ratio[lo + top]), float(turn[lo + top]))
     return best
 
 
@@ -213,15 +217,18 @@ def _compare(buckets: int):
         size = np.diff(np.append(heads, len(key)))
         left, right = [], []
 
+        quarters = [np.ascontiguousarray(q) for q in np.ascontiguousarray(words).view(np.uint64).reshape(-1, 4).T]
+
         def check(a: np.ndarray, b: np.ndarray) -> None:
-            other = ids[a] != ids[b]
-            a, b = a[other], b[other]
-            first = (words[a, :TABLES] == words[b, :TABLES]).argmax(1) == tab[a]
-            a, b = a[first], b[first]
-            ok = np.bitwise_count(words[a] ^ words[b]).sum(1) <= MOST_BITS
-            swap = ids[a[ok]] > ids[b[ok]]
-            left.append(np.where(swap, b[ok], a[ok]))
-            right.append(np.where(swap, a[ok], b[ok]))
+            apart = sum(np.bitwise_count(q[a] ^ q[b]).astype(np.int16) for q in quarters)
+            keep(a[apart <= MOST_BITS], b[apart <= MOST_BITS])
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            ok = (ids[a] != ids[b]) & ((words[a, :TABLES] == words[b, :TABLES]).argmax(1) == tab[a])
+            a, b = a[ok], b[ok]
+            swap = ids[a] > ids[b]
+            left.append(np.where(swap, b, a))
+            right.append(np.where(swap, a, b))
 
         for n in np.unique(size[size > 1]):
             at = heads[size == n]
@@ -232,8 +239,13 @@ def _compare(buckets: int):
                     check((some + i).ravel(), (some + j).ravel())
             else:
                 for h in at:
-                    for i in range(int(n) - 1):
-                        check(np.full(int(n) - i - 1, h + i), np.arange(h + i + 1, h + n))
+                    for i in range(h, h + int(n) - 1):
+                        apart = np.bitwise_count(quarters[0][i] ^ quarters[0][i + 1 : h + n])
+                        for q in quarters[1:]:  # they share a word, so the sum stays under 256
+                            apart = apart + np.bitwise_count(q[i] ^ q[i + 1 : h + n])
+                        near = np.flatnonzero(apart <= MOST_BITS)
+                        if len(near):
+                            keep(np.full(len(near), i), near + i + 1)
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
         pair = mix64(ids[a].astype(np.uint64) * np.uint64(0x100000001B3) + mix64(ids[b].astype(np.uint64)))
         return _columns((pair % np.uint64(buckets)).astype(np.int64), {"a": ids[a], "b": ids[b], "pa": place[a], "pb": place[b]})
