@@ -1,5 +1,7 @@
 """Comparison of a query's rows with those of its SQL in DuckDB."""
 
+import os
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -31,5 +33,6 @@ def rows(pdf):
 def by_sql(sql, sf):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        at = f"{sf}/{t}.parquet"
+        c.sql(f"create view {t} as select * from '{at + '/*.parquet' if os.path.isdir(at) else at}'")
     return c.sql(sql).df()
