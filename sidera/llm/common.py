@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -67,6 +68,14 @@ def hashed(words_of: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as workers stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about STEP_CHARS bytes of the text column each, every row once and in order."""
     for batch in batches:
@@ -77,6 +86,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def blobs(values: list[bytes]) -> pa.Array:
