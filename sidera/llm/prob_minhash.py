@@ -10,10 +10,16 @@ document, as nothing later can change the signature.
 1. Documents with the same shingle multiset are found by a 128-bit digest and form a group at once; the least id goes on.
 2. Registers are hashed in `bands` bands of `rows`. Of those who share a band hash, in the order of their ids, each is
    compared by its registers with the leaders so far: it is paired with the likeliest one whose estimate reaches the
-   threshold; if there is none, it is paired with all leaders within `SLACK` of it and leads too. So every member of
-   every bucket is resolved in one pass; there is no cap on buckets, leaders or partners.
+   threshold; if there is none, it is paired with all leaders within `SLACK` of it and leads too. This first pass only
+   joins most of a group cheaply.
 3. Every such pair is verified by the exact J_P of the two texts, at least `threshold`.
-4. Groups are the connected components of the verified pairs.
+4. In buckets that still hold members of different groups, followers and members of refuted pairs included, each member
+   outside the bucket's largest group is paired with its likeliest partners of other groups within `SLACK` of the
+   threshold, and the pairs not yet verified are. Rounds follow, each with `GROWTH` times as many partners and the groups
+   joined so far, until none has left a pair out: then every two members of a bucket within `SLACK` are verified or are
+   in one group. There is no cap on buckets, leaders or partners. Documents that are many, alike below the threshold and
+   in no common group cost a verification each pair.
+5. Groups are the connected components of the verified pairs.
 
 Cases: a text that is null, empty or without words has no shingles and is in no group; a text shorter than `size` is
 one shingle of all its words; rows with a null id are in no group; rows that repeat an id count once (the first text in
@@ -35,6 +41,10 @@ from sidera.llm.common import GOLD, WORD, components, durable, hashed, mix64, st
 SIZE, M, BANDS, ROWS, THRESHOLD = 2, 96, 24, 4, 0.6
 #: Three standard errors of an estimate from M registers.
 SLACK = 0.15
+#: Partners of a member in the first round after the leaders', and their growth from round to round.
+PARTNERS, GROWTH = 8, 8
+#: Pairs up to which verify() sends their ids to the texts instead of shuffling all texts.
+BROADCAST_PAIRS = 50_000
 
 
 def shingles(texts: list[str | None], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +139,7 @@ def verify(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = edges.select(F.col("a").alias("id"), F.col("b").alias("hub")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("hub"))).distinct()
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    sent = texts.join(wanted, "id")
+    sent = texts.join(F.broadcast(wanted) if edges.count() <= BROADCAST_PAIRS else wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come ordered by hub, the hub's own text first, so one text is held at a time
@@ -177,27 +187,31 @@ def _bucket(ids: list, low: np.ndarray, threshold: float) -> list[tuple]:
     return out
 
 
-def _lead(threshold: float):
-    """(a, b) of rows (slot, id, low) that come ordered by slot and id."""
+def _partners(ids: list, root: np.ndarray, low: np.ndarray, threshold: float, most: int) -> tuple[list[tuple], bool]:
+    """Pairs of one bucket's members of different groups: of each member outside the largest group the `most` likeliest
+    within SLACK; and whether any had more. Members come in the order of their ids; root tells their groups."""
+    values, place, counts = np.unique(root, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(place != counts.argmax())
+    out, cut = [], False
+    step = max(1, 200_000 // len(ids))
+    for at in range(0, len(outside), step):
+        mine = outside[at : at + step]
+        likely = (np.count_nonzero(low[mine, None] == low[None], axis=-1) / low.shape[1] - 1 / 256) / (1 - 1 / 256)
+        likely[root[mine, None] == root[None]] = -1
+        for k, row in zip(mine.tolist(), likely):
+            to = np.flatnonzero(row >= threshold - SLACK)
+            if len(to) > most:
+                cut = True
+                to = to[np.argsort(-row[to], kind="stable")[:most]]
+            out += [(ids[max(k, x)], ids[min(k, x)]) for x in to.tolist()]
+    return out, cut
+
+
+def _by_slot(solve):
+    """solve of rows that come ordered by slot and id, whole slots at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-
-        def solve(part: pa.Table) -> pa.RecordBatch:
-            slot = part.column("slot").to_numpy()
-            ids = part.column("id").to_pylist()
-            low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
-            heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-            size = np.diff(np.append(heads, len(slot)))
-            two = heads[size == 2]
-            near = two[_estimates(low[two], low[two + 1]) >= threshold - SLACK]
-            pairs = [(ids[k + 1], ids[k]) for k in near.tolist()]
-            for h, n in zip(heads[size > 2].tolist(), size[size > 2].tolist()):
-                pairs += _bucket(ids[h : h + n], low[h : h + n], threshold)
-            pairs = sorted(set(pairs))
-            kind = part.schema.field("id").type
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([y for _, y in pairs], kind)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -215,15 +229,74 @@ def _lead(threshold: float):
     return run
 
 
-def candidates(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of the pairs to verify, of rows of sign() with distinct ids."""
+def _read(part: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, registers, first row of each slot, its rows)."""
+    slot = part.column("slot").to_numpy()
+    ids = part.column("id").to_pylist()
+    low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+    heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    return ids, low, heads, np.diff(np.append(heads, len(slot)))
+
+
+def _lead(threshold: float):
+    """(a, b) of rows (slot, id, low)."""
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        ids, low, heads, size = _read(part)
+        two = heads[size == 2]
+        near = two[_estimates(low[two], low[two + 1]) >= threshold - SLACK]
+        pairs = [(ids[k + 1], ids[k]) for k in near.tolist()]
+        for h, n in zip(heads[size > 2].tolist(), size[size > 2].tolist()):
+            pairs += _bucket(ids[h : h + n], low[h : h + n], threshold)
+        pairs = sorted(set(pairs))
+        kind = part.schema.field("id").type
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([y for _, y in pairs], kind)], ["a", "b"])
+
+    return _by_slot(solve)
+
+
+def _carry(threshold: float, most: int):
+    """(a, b, cut) of rows (slot, id, root, low); a row without a and b says that pairs were left out."""
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        ids, low, heads, size = _read(part)
+        root = part.column("root").combine_chunks().dictionary_encode()
+        root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
+        pairs, left_out = set(), False
+        for h, n in zip(heads.tolist(), size.tolist()):
+            found, cut = _partners(ids[h : h + n], root[h : h + n], low[h : h + n], threshold, most)
+            pairs.update(found)
+            left_out |= cut
+        rows = [(a, b, False) for a, b in sorted(pairs)] + [(None, None, True)] * left_out
+        kind = part.schema.field("id").type
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.bool_())], ["a", "b", "cut"])
+
+    return _by_slot(solve)
+
+
+def buckets(signed: DataFrame) -> DataFrame:
+    """(id, slot, n) of the buckets with two members or more, of rows of sign() with distinct ids."""
+    flat = signed.select("id", F.explode("bands").alias("slot")).distinct()
+    return flat.withColumn("n", F.count("*").over(Window.partitionBy("slot"))).where("n > 1")
+
+
+def candidates(signed: DataFrame, slots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of the first pairs to verify; slots of buckets()."""
     kind = signed.schema["id"].dataType.simpleString()
-    slots = signed.select("id", F.explode("bands").alias("slot")).withColumn("n", F.count("*").over(Window.partitionBy("slot"))).where("n > 1")
-    rows = slots.select("id", "slot").distinct().join(signed.select("id", "low"), "id")
-    laid = rows.select("slot", "id", "low").repartition("slot").sortWithinPartitions("slot", "id")
+    laid = slots.join(signed.select("id", "low"), "id").select("slot", "id", "low").repartition("slot").sortWithinPartitions("slot", "id")
     return laid.mapInArrow(_lead(threshold), f"a {kind}, b {kind}").distinct()
 
 
+def remaining(signed: DataFrame, slots: DataFrame, roots: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(a, b, cut) of pairs in one bucket whose groups differ, as _carry() gives them; candidates() has all of buckets of two."""
+    kind = signed.schema["id"].dataType.simpleString()
+    at = slots.where("n > 2").join(roots, "id", "left").select("slot", "id", F.coalesce("root", "id").alias("root"))
+    mixed = at.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("slot")
+    rows = at.join(mixed, "slot").join(signed.select("id", "low"), "id")
+    laid = rows.select("slot", "id", "root", "low").repartition("slot").sortWithinPartitions("slot", "id")
+    return laid.mapInArrow(_carry(threshold, most), f"a {kind}, b {kind}, cut boolean").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SIZE, m: int = M, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, group_id, group_size) of every document in a group of two or more; group_id is the least id of the group."""
     assert bands * rows <= m
@@ -232,9 +305,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     same = signed.groupBy("digest").agg(F.min("id").alias("b"), F.count("*").alias("n"))
     exact = signed.select(F.col("id").alias("a"), "digest").join(same.where("n > 1"), "digest").where("a <> b").select("a", "b")
     alone = signed.join(same.select(F.col("b").alias("id")), "id", "left_semi")
-    edges = durable(candidates(alone, threshold))
-    found = verify(docs, edges, id_col, text_col, size).where(F.col("jp") >= threshold)
-    roots = durable(components(exact.unionByName(found.select("a", "b"))))
+    slots = durable(buckets(alone))
+    tested = durable(candidates(alone, slots, threshold))
+
+    def true(pairs: DataFrame) -> DataFrame:
+        return durable(verify(docs, pairs, id_col, text_col, size).where(F.col("jp") >= threshold).select("a", "b"))
+
+    roots, most = durable(components(exact.unionByName(true(tested)))), PARTNERS
+    while True:
+        asked = durable(remaining(alone, slots, roots, threshold, most))
+        fresh = durable(asked.where("not cut").select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        found = true(fresh)
+        if not found.isEmpty():
+            roots = durable(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)))
+        if asked.where("cut").isEmpty():
+            break
+        tested, most = tested.unionByName(fresh), most * GROWTH
     sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     return roots.join(sizes, "root").select(F.col("id").alias(id_col), F.col("root").alias("group_id"), "group_size")
 

@@ -257,3 +257,47 @@ def test_natural_weights_cap_a_hot_source():
     q = mixing.quotas({"hot": 900, **{f"s{k}": 50 for k in range(10)}}, None, 0.2)
     assert q["hot"] == 125 and all(q[f"s{k}"] == 50 for k in range(10))
     assert mixing.quotas({"one": 7}, None, 0.2) == {"one": 7} and mixing.quotas({}) == {}
+
+
+def test_stars_and_chains_of_near_copies(spark):
+    """Groups joined by one document that has not the least id, or only link by link, against all pairs of the buckets."""
+    rng = np.random.default_rng(6)
+    texts, names = {}, iter(range(10**6))
+
+    def copy(words, n):
+        w = list(words)
+        for at in rng.choice(len(w) // 2, n, False):
+            w[2 * at] = f"r{next(names)}"
+        return " ".join(w)
+
+    for centre in (150, 299):
+        words = [f"o{next(names)}" for _ in range(200)]
+        start = len(texts)
+        for k in range(300):
+            texts[start + k] = " ".join(words) if k == centre else copy(words, int(rng.integers(15, 21)))
+    line = [f"l{next(names)}" for _ in range(100 + 20 * 300)]
+    for k, at in enumerate(rng.permutation(300).tolist()):
+        texts[600 + k] = " ".join(line[20 * at : 20 * at + 100])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    d, h, w = prob_minhash.shingles(list(texts.values()))
+    cut = np.searchsorted(d, np.arange(len(texts) + 1))
+    sets = [(h[a:b], w[a:b]) for a, b in zip(cut, cut[1:])]
+    slots = collections.defaultdict(list)
+    for r in sorted(prob_minhash.sign(df).select("id", "bands").collect()):
+        for s in r.bands:
+            slots[s].append(r.id)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for v in slots.values() for k, a in enumerate(v) for b in v[k + 1 :]}:
+        if prob_minhash.probability_jaccard(sets[a], sets[b]) >= prob_minhash.THRESHOLD:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    count = collections.Counter(find(k) for k in texts)
+    want = {k: find(k) for k in texts if count[find(k)] > 1}
+    assert sorted(count.values())[-2] >= 295
+    assert {r.doc_id: r.group_id for r in prob_minhash.groups(df).collect()} == want
