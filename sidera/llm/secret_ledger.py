@@ -40,8 +40,11 @@ RULES = (
     Rule("google_api_key", 1, r"\bAIza[0-9A-Za-z_-]{35}", ("aiza",)),
     Rule("stripe_live_key", 1, r"\b[rs]k_live_[0-9A-Za-z]{16,}", ("k_live_",)),
     Rule("json_web_token", 1, r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", ("eyj",)),
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("private key-----",)),
-    Rule("assigned_secret", 2, r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|pwd)[\"']?!{0,2}\s*[:=]+!{0,2}\s*[\"']?[0-9A-Za-z+/_-]{12,}", ("api", "secret", "token", "passwd", "password", "pwd")),
+    # up to its END line, or to the end of the text where that is missing
+    Rule("private_key", 2, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\z)", ("private key",)),
+    # the keyword may stand anywhere in a name, and any run of noise signs on either side of the assignment sign; the
+    # name's part before the keyword is not of the match, as a run of word characters would be tried from each of them
+    Rule("assigned_secret", 3, r"(?i)(?:api[_-]?key|secret|token|passwd|password|pwd)[0-9A-Za-z_.-]*[\"'\s!#$%&*@^~?|]*[:=][:=>\"'\s!#$%&*@^~?|]*[0-9A-Za-z+/_-]{12,}", ("api", "secret", "token", "passwd", "password", "pwd")),
 )
 
 

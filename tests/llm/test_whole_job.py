@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from sidera.llm import queries
+from sidera.llm import queries, secret_ledger
+from tests.compare import rows
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
@@ -13,3 +14,29 @@ def test_all_unwanted_hosts_are_blocked(spark, sf):
     unwanted = re.compile(r"://(?:[^/?#]*\.)?(?:ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.")
     want = {r.page_id for r in rows if r.url and unwanted.search(r.url)}
     assert want and {r.page_id for r in rows if r.action == "block"} == want
+
+
+def key(kind, body, end=True):
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n" + (f"-----END {kind}PRIVATE KEY-----" if end else "")
+
+
+def test_secrets_of_all_names_noises_and_whole_keys(spark):
+    import duckdb
+
+    value = "Zq81xLw0Vt5RmK2pYc"
+    names = ["client_secret", "DB_PASSWORD", "aws_secret_access_key", "secret_key", "my.app-token", "tokenId", "api_key", "pwd"]
+    texts = [f"{n}{s}{value} end" for n in names for s in ("=", ": ", ' = "')]
+    texts += [f"token {n}={n} {value} end" for n in ("###", "$$$", "%%%", "&&&", "***", "!!", "!!!!")]
+    assigned = len(texts)
+    texts += [f"a {key('RSA ', 'MIIBody1' + value)} b", f"a {key('RSA ', 'MIIBody2' + value)} b", f"a {key('', 'MIIBody3' + value, False)}", f"a {key('EC ', 'One' + value)} b {key('', 'Two' + value)} c"]
+    plain = ["a token of trust, a secret well kept", "the secret is internationalisation", "password: short", "-----BEGIN PUBLIC KEY-----"]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id bigint, text string")
+    got = secret_ledger.scan(docs)[0].toPandas()
+    assert set(got.doc_id) == set(range(len(texts)))
+    keys = got[got.rule_id == "private_key"]
+    assert len(keys) == 5 == keys.secret_sha.nunique() and set(keys.doc_id) == set(range(assigned, len(texts)))
+    clean = {r.doc_id: r.text for r in secret_ledger.stage(docs).collect()}
+    assert not any(value in clean[k] for k in range(len(texts))) and [clean[len(texts) + k] for k in range(len(plain))] == plain
+    assert clean[assigned] == "a [private_key redacted] b" and clean[assigned + 3] == "a [private_key redacted] b [private_key redacted] c"
+    documents = docs.toPandas()  # noqa: F841
+    assert rows(got) == rows(duckdb.sql(secret_ledger.oracle()).df())
