@@ -10,7 +10,9 @@ Ranks come without a sort of a whole source: rows are counted by (source, hash b
 border between shards are ranked inside, on narrow rows. The rows with their texts are shuffled once, to their shards.
 
 Weights: by source name (sources without one get none), or None for the natural weights with no source above
-`max_share`. The total is the largest that the weights allow without drawing a block twice.
+`max_share`; where that cap can't be met, or only with under `LEAST_DRAWN` of all blocks, as with few large sources and
+tiny ones beside them, it is not applied and all blocks are drawn. The total is the largest that the weights allow
+without drawing a block twice.
 
 Cases: a null source is a source of its own, spelled '' ; a source's last block may be short; a null id is an id like
 another, and rows with equal ids stay together in one shard, so a quota can be off by the rows that repeat an id at a
@@ -32,6 +34,8 @@ from sidera.llm.common import numbered
 #: Rows of the table of borders up to which it is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 50_000
 BUCKET_ROWS = 1 << 14
+#: The part of all blocks that natural weights draw at least under their cap; else there is no cap.
+LEAST_DRAWN = 1 / 3
 
 
 def quotas(blocks: dict[str, int], weights: dict[str, float] | None = None, max_share: float = 0.2) -> dict[str, int]:
@@ -48,7 +52,8 @@ def quotas(blocks: dict[str, int], weights: dict[str, float] | None = None, max_
             most = int(share * rest / (1 - capped * share))
             if capped == len(order) or blocks[order[capped]] <= most:
                 break
-        return {s: min(n, most) for s, n in blocks.items()}
+        out = {s: min(n, most) for s, n in blocks.items()}
+        return out if sum(out.values()) >= LEAST_DRAWN * sum(blocks.values()) else dict(blocks)
     total = sum(w for s, w in weights.items() if s in blocks and w > 0)
     part = {s: w / total for s, w in weights.items() if s in blocks and w > 0}
     if not part:

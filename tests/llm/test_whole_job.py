@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from sidera.llm import queries, secret_ledger
+from sidera.llm import mixing, queries, secret_ledger
 from tests.compare import rows
 
 
@@ -40,3 +40,9 @@ def test_secrets_of_all_names_noises_and_whole_keys(spark):
     assert clean[assigned] == "a [private_key redacted] b" and clean[assigned + 3] == "a [private_key redacted] b [private_key redacted] c"
     documents = docs.toPandas()  # noqa: F841
     assert rows(got) == rows(duckdb.sql(secret_ledger.oracle()).df())
+
+
+@pytest.mark.parametrize("sizes", [(100_000, 100_000, 100_000, 100_000, 1), (400_000, 200_000, 100_000, 50_000, 10), (100_000, 100_000, 100_000, 500), (100_000, 100_000, 100_000, 100_000, 1, 1)])
+def test_a_tiny_or_null_source_does_not_shrink_the_draw(sizes):
+    blocks = {"" if k == len(sizes) - 1 else f"s{k}": n for k, n in enumerate(sizes)}
+    assert mixing.quotas(blocks) == blocks
