@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import re
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -20,18 +22,36 @@ WORD = re.compile(r"\w+")
 STEP_CHARS = 1_000_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint() in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    A folder of our own is set only in a session that names none, such as a local test.
+    A local session that names none, such as a test, gets a folder of its own that goes when it ends; on a cluster a
+    missing setting is an error, as no other folder is known to be shared.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="sidera-")
+        atexit.register(shutil.rmtree, named, True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by checkpoint() in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sidera-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a job's own, wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

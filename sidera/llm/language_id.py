@@ -4,14 +4,13 @@ Each language has a codeword of bits; for every bit a logistic classifier over h
 bytes of the lower-cased text) predicts it. Decoding weighs the exponential loss of every bit by that bit's
 held-out skill and chooses the codeword of least loss; the loss left to the second codeword is the margin.
 
-With at most MOST_EXHAUSTIVE languages the code is exhaustive (every split of the languages into two sets is a bit),
-otherwise it is random and dense. The classifiers are fitted to at most `train_rows` labelled rows, drawn by a hash
+The bits are distinct splits of the languages into two sets, drawn at random: `10 log2` of their number, or all splits
+where there are no more. The classifiers are fitted to at most `train_rows` labelled rows, drawn by a hash
 of the id with as many from each language where it has them; this bound is the only sample, and scoring reads every
 text whole.
 
-Cases: a text that is null or has no letter is rejected with a null language; a text whose margin is under
-`ambiguous_margin` is flagged ambiguous, and is rejected too if it has `judge_letters` letters or more, so that a
-short clean text is kept with its flag. Rows with a null label are scored but never trained on; a single label
+Cases: a text that is null or has no letter is rejected with a null language; a text of whatever length whose margin is
+under `ambiguous_margin` is flagged ambiguous and rejected, as two codewords are as near. Rows with a null label are scored but never trained on; a single label
 makes every other text that label; a table with no labels rejects all. Equal losses go to the language first in
 order. Rows with a null or repeated id are scored one by one. Other columns are ignored.
 """
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from sidera.llm.common import numbered, steps
 
 FEATURES = 1 << 13
-MOST_EXHAUSTIVE = 6
 
 
 @dataclass(frozen=True)
@@ -42,17 +40,20 @@ class Model:
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
-    """k codewords: all splits in two for few languages, else random dense bits of which no column is constant."""
+    """k codewords of ceil(10 log2 k) bits: distinct splits in two, drawn at random, all of them where there are no more.
+
+    Of several draws the one counts whose nearest two codewords are farthest apart.
+    """
     if k <= 1:
         return np.ones((k, 1))
-    if k <= MOST_EXHAUSTIVE:
-        bits = [[1 if (m >> (k - 1 - i)) & 1 else -1 for i in range(k)] for m in range(2 ** (k - 1), 2**k - 1)]
-        return np.array(bits, float).T
+    bits = int(np.ceil(10 * np.log2(k)))
     rng = np.random.default_rng(seed)
     best, apart = None, -1.0
     for _ in range(200):
-        code = np.where(rng.random((k, int(10 * np.log2(k)))) < 0.5, -1.0, 1.0)
-        code = code[:, np.abs(code.sum(0)) < k]
+        draw = np.where(rng.random((k, 16 * bits)) < 0.5, -1.0, 1.0)
+        draw = draw * draw[0]  # a split and its opposite are one
+        code = np.unique(draw[:, (draw < 0).any(0)], axis=1)
+        code = code[:, rng.permutation(code.shape[1])[:bits]]
         distance = ((code.shape[1] - code @ code.T) / 2 + np.eye(k) * 1e9).min()
         if distance > apart:
             best, apart = code, distance
@@ -135,7 +136,7 @@ def train(docs: DataFrame, train_rows: int = 1600, id_col: str = "doc_id", text_
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, ambiguous_margin: float = 0.25, judge_letters: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, ambiguous_margin: float = 0.25, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, lang_id, loss, margin, ambiguous, rejected) of each row; with text_col in keep the text goes along."""
     send = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: FEATURES x bits
 
@@ -151,9 +152,8 @@ def identify(docs: DataFrame, model: Model, ambiguous_margin: float = 0.25, judg
                     pick[a : a + 256], loss[a : a + 256], margin[a : a + 256] = decode(m, x @ m.weights + m.bias)
             none = (letters == 0) | (not m.languages)
             ambiguous = none | (margin < ambiguous_margin)
-            rejected = none | (ambiguous & (letters >= judge_letters))
             found = names[np.where(none, len(m.languages), pick)]
-            out = [pa.array(found, pa.string()), pa.array(loss, mask=none), pa.array(margin, mask=none), pa.array(ambiguous), pa.array(rejected)]
+            out = [pa.array(found, pa.string()), pa.array(loss, mask=none), pa.array(margin, mask=none), pa.array(ambiguous), pa.array(ambiguous)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], "lang_id", "loss", "margin", "ambiguous", "rejected"])
 
     source = docs.select(F.col(id_col), *(c for c in keep if c != id_col), F.col(text_col).alias("__text"))

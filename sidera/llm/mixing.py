@@ -9,10 +9,14 @@ follow those of the shard before it, hence are disjoint; its rows are then shuff
 Ranks come without a sort of a whole source: rows are counted by (source, hash bucket), and only buckets that hold a
 border between shards are ranked inside, on narrow rows. The rows with their texts are shuffled once, to their shards.
 
-Weights: by source name (sources without one get none), or None for the natural weights with no source above
-`max_share`; where that cap can't be met, or only with under `LEAST_DRAWN` of all blocks, as with few large sources and
-tiny ones beside them, it is not applied and all blocks are drawn. The total is the largest that the weights allow
-without drawing a block twice.
+Weights: a mapping by source name, in which sources without one get none, a function of the sources' blocks that gives
+such a mapping, as `tempered()` does, or None, by which every block is drawn. The total is the largest at which no
+block is drawn twice: that of the source with the fewest blocks for its weight. A source with under `scarce` of the
+blocks for its weight that the median source has (by weight) doesn't set the total: it is drawn whole, and the others
+share by their weights, so a tiny or null source can't shrink the draw.
+
+The sources' counts (a row each) and the tree's upper part are on the driver, so sources are names of collections, some
+thousands at most; take a site's collection, not its host.
 
 Cases: a null source is a source of its own, spelled '' ; a source's last block may be short; a null id is an id like
 another, and rows with equal ids stay together in one shard, so a quota can be off by the rows that repeat an id at a
@@ -22,7 +26,7 @@ those made here (shard, position) are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,36 +38,40 @@ from sidera.llm.common import numbered
 #: Rows of the table of borders up to which it is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 50_000
 BUCKET_ROWS = 1 << 14
-#: The part of all blocks that natural weights draw at least under their cap; else there is no cap.
-LEAST_DRAWN = 1 / 3
+#: Power of a source's blocks that is its target weight in op8 and the pipeline: under 1, large sources weigh less than
+#: their size, as is usual for mixtures of corpora.
+TEMPERATURE = 0.7
+SCARCE = 0.5
+Weights = dict[str, float] | Callable[[dict[str, int]], dict[str, float]] | None
+
+
+def tempered(power: float = TEMPERATURE) -> Callable[[dict[str, int]], dict[str, float]]:
+    """Target weights: each source's blocks to the given power."""
+    return lambda blocks: {s: float(n) ** power for s, n in blocks.items()}
 
 
-def quotas(blocks: dict[str, int], weights: dict[str, float] | None = None, max_share: float = 0.2) -> dict[str, int]:
+def quotas(blocks: dict[str, int], weights: Weights = None, scarce: float = SCARCE) -> dict[str, int]:
     """The blocks to draw from each source."""
-    if not blocks:
-        return {}
     if weights is None:
-        share, order = max(max_share, 1 / len(blocks)), sorted(blocks, key=lambda s: (-blocks[s], s))
-        for capped in range(len(order) + 1):
-            rest = sum(blocks[s] for s in order[capped:])
-            if capped * share >= 1:
-                most = min(blocks.values())
-                break
-            most = int(share * rest / (1 - capped * share))
-            if capped == len(order) or blocks[order[capped]] <= most:
-                break
-        out = {s: min(n, most) for s, n in blocks.items()}
-        return out if sum(out.values()) >= LEAST_DRAWN * sum(blocks.values()) else dict(blocks)
-    total = sum(w for s, w in weights.items() if s in blocks and w > 0)
-    part = {s: w / total for s, w in weights.items() if s in blocks and w > 0}
+        return dict(blocks)
+    if callable(weights):
+        weights = weights(blocks)
+    part = {s: w for s, w in weights.items() if w > 0 and blocks.get(s, 0) > 0}
     if not part:
         return dict.fromkeys(blocks, 0)
-    size = int(min(blocks[s] / p for s, p in part.items()) + 1e-9)
-    exact = {s: size * p for s, p in part.items()}
+    room = {s: blocks[s] / w for s, w in part.items()}
+    order = sorted(part, key=lambda s: (room[s], s))
+    half = np.searchsorted(np.cumsum([part[s] for s in order]), sum(part.values()) / 2)
+    least = scarce * room[order[min(half, len(order) - 1)]]
+    whole = {s: blocks[s] for s in part if room[s] < least}
+    part = {s: w for s, w in part.items() if s not in whole}
+    total = sum(part.values())
+    size = int(min(blocks[s] * total / w for s, w in part.items()) + 1e-9)
+    exact = {s: size * w / total for s, w in part.items()}
     out = {s: int(x + 1e-9) for s, x in exact.items()}
     for s in sorted(part, key=lambda s: (out[s] - exact[s], s))[: size - sum(out.values())]:  # largest remainders
         out[s] = min(out[s] + 1, blocks[s])
-    return {s: out.get(s, 0) for s in blocks}
+    return {s: (whole | out).get(s, 0) for s in blocks}
 
 
 def split(quota: np.ndarray, lo: int, hi: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +94,14 @@ def grow(quota: np.ndarray, lo: int, hi: int, seed: int, leaves: int = 1) -> Ite
             stack += [(right, (a + b) // 2, b), (left, a, (a + b) // 2)]
 
 
-def assign(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float = 0.2, block: int = 4, shard_rows: int = 4096, seed: int = 23, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def assign(docs: DataFrame, weights: Weights = None, scarce: float = SCARCE, block: int = 4, shard_rows: int = 4096, seed: int = 23, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs' drawn rows with all their columns and (shard int, position int)."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "position")
     key, order = F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.xxhash64(F.lit(seed), F.col(id_col))
     narrow = docs.select(key.alias("__s"), order.alias("__h"))
     counts = {r[0]: r[1] for r in narrow.groupBy("__s").count().collect()}  # one row a source
-    quota = quotas({s: -(-n // block) for s, n in counts.items()}, weights, max_share)
+    quota = quotas({s: -(-n // block) for s, n in counts.items()}, weights, scarce)
     names = sorted(quota)
     drawn = np.array([quota[s] for s in names], np.int64)
     shards = max(1, -(-int(drawn.sum()) * block // shard_rows))

@@ -12,7 +12,8 @@ document, as nothing later can change the signature.
    compared by its registers with the leaders so far: it is paired with the likeliest one whose estimate reaches the
    threshold; if there is none, it is paired with all leaders within `SLACK` of it and leads too. This first pass only
    joins most of a group cheaply.
-3. Every such pair is verified by the exact J_P of the two texts, at least `threshold`.
+3. Every such pair is verified by the exact J_P of the two texts, at least `threshold`. The texts of documents in a bucket
+   of two or more are written once, and every round of verification reads those.
 4. In buckets that still hold members of different groups, followers and members of refuted pairs included, each member
    outside the bucket's largest group is paired with its likeliest partners of other groups within `SLACK` of the
    threshold, and the pairs not yet verified are. Rounds follow, each with `GROWTH` times as many partners and the groups
@@ -36,15 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sidera.llm.common import GOLD, WORD, components, durable, hashed, mix64, steps
+from sidera.llm.common import GOLD, WORD, components, durable, hashed, mix64, numbered, steps
 
 SIZE, M, BANDS, ROWS, THRESHOLD = 2, 96, 24, 4, 0.6
 #: Three standard errors of an estimate from M registers.
 SLACK = 0.15
 #: Partners of a member in the first round after the leaders', and their growth from round to round.
 PARTNERS, GROWTH = 8, 8
-#: Pairs up to which verify() sends their ids to the texts instead of shuffling all texts.
-BROADCAST_PAIRS = 50_000
 
 
 def shingles(texts: list[str | None], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +133,11 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, digest binary, bands array<long>, low binary")
 
 
-def verify(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """(a, b, jp) of distinct pairs, the exact J_P of their texts. Texts travel once to their id and those of pairs once more to the pair's b."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def verify(texts: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFrame:
+    """(a, b, jp) of distinct pairs, the exact J_P of their texts (id, __text). Texts travel to their id and those of pairs once more to the pair's b."""
+    kind = texts.schema["id"].dataType.simpleString()
     wanted = edges.select(F.col("a").alias("id"), F.col("b").alias("hub")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("hub"))).distinct()
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    sent = texts.join(F.broadcast(wanted) if edges.count() <= BROADCAST_PAIRS else wanted, "id")
+    sent = texts.join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come ordered by hub, the hub's own text first, so one text is held at a time
@@ -306,10 +304,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     exact = signed.select(F.col("id").alias("a"), "digest").join(same.where("n > 1"), "digest").where("a <> b").select("a", "b")
     alone = signed.join(same.select(F.col("b").alias("id")), "id", "left_semi")
     slots = durable(buckets(alone))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).where("id is not null")
+    texts = durable(texts.join(slots.select("id").distinct(), "id", "left_semi"))
     tested = durable(candidates(alone, slots, threshold))
 
     def true(pairs: DataFrame) -> DataFrame:
-        return durable(verify(docs, pairs, id_col, text_col, size).where(F.col("jp") >= threshold).select("a", "b"))
+        return durable(verify(texts, pairs, size).where(F.col("jp") >= threshold).select("a", "b"))
 
     roots, most = durable(components(exact.unionByName(true(tested)))), PARTNERS
     while True:
@@ -325,11 +325,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     return roots.join(sizes, "root").select(F.col("id").alias(id_col), F.col("root").alias("group_id"), "group_size")
 
 
-def stage(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, the one of least id, and all documents in no group, with the columns that came in.
+def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group, that of the least id (a null id last), and all rows in no group, with the columns that came in.
 
-    Rows that repeat an id of a group are one document and stay once; rows with a null id stay.
+    Rows are told apart by a 64-bit hash of id and text, so unlike texts under one id are documents of their own and rows
+    with a null id have their copies found like others. Rows equal in id and text are one document; rows with a null text stay.
     """
-    gone = groups(docs, id_col, **options).where(F.col(id_col) != F.col("group_id")).select(id_col)
-    rest = docs.join(gone, id_col, "left_anti")
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull())).select(*docs.columns)
+    plain = numbered(docs)
+    name = dict(zip(docs.columns, plain.columns))
+    ident, text = name[id_col], name[text_col]
+    keyed = plain.where(F.col(text).isNotNull()).withColumn("__k", F.xxhash64(ident, text))
+    found = groups(keyed, "__k", text, **options).select("__k", "group_id")
+    named = keyed.select("__k", F.col(ident).alias("__id")).join(found, "__k")
+    first = named.groupBy(F.col("group_id").alias("__g")).agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__k").alias("k")))["k"].alias("__first"))
+    gone = found.join(first, (F.col("group_id") == F.col("__g")) & (F.col("__k") != F.col("__first"))).select("__k")
+    rest = keyed.join(gone, "__k", "left_anti").dropDuplicates(["__k"]).drop("__k")
+    return rest.unionByName(plain.where(F.col(text).isNull())).select(*(F.col(p).alias(c) for c, p in name.items()))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidera.llm import language_id, lattice_hash, local_descriptors, mil_quality, mixing, prob_minhash, secret_ledger, sentencepiece_codec, substring_dedup, url_filter
+from sidera.llm.common import durable, remove, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_ledger.scan(table(spark, sf_dir, "documents"))[0]
+    """Two runs with one stored ledger: half of the versions, then all, of which only what is unseen is scanned."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    secret_ledger.scan_stored(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), folder)
+    rows = durable(secret_ledger.scan_stored(docs, folder))
+    remove(spark, folder)
+    return rows
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +53,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(table(spark, sf_dir, "documents"))
+    return mixing.assign(table(spark, sf_dir, "documents"), mixing.tempered())
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Operator 4: secret scans with an incremental blob ledger.
 
-Every version of every path is content-addressed by the SHA-256 of its text. The ledger says which (blob, rule,
-rule version) have been scanned; a run scans the text of a blob once, whatever the number of paths that hold it, and
+Every version of every path is content-addressed by the SHA-256 of its text. The ledger says which rule versions each
+blob has been scanned with; a run scans the text of a blob once, whatever the number of paths and rows that hold it, and
 only with the rules whose present version the ledger lacks for that blob. Findings are kept by blob and joined back to
 all paths. A secret is reported by its own SHA-256 and count, never in clear.
 
-The scan is a projection of JVM expressions: a literal keyword that every match has to hold guards each pattern.
+The scan is a projection of JVM expressions: a literal keyword that every match has to hold guards each pattern. A text
+without any of the keywords has no finding and never travels; it is in the ledger all the same.
+
+scan_stored() keeps both tables in a folder, as files that are only added to: findings first, then the ledger, so a run
+that breaks off between the two is made good by the next, and findings that are there twice are read once.
 
 Cases: a null text has no blob and no finding; an empty text is a blob without findings; rows that repeat a path and
 text count once; a null path is a path of its own; an empty table gives no rows. Ledger rows of other versions of a
@@ -19,7 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEDGER = "blob string, rule_id string, rule_version int"
+from sidera.llm.common import numbered
+
+#: scanned: rule ids and versions as version_of() spells them; a blob may have several rows.
+LEDGER = "blob string, scanned array<string>"
 FINDINGS = "blob string, rule_id string, rule_version int, secret_sha string, n bigint"
 
 
@@ -52,62 +59,84 @@ def blob_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _has(lower: Column, rule: Rule) -> Column:
+def version_of(rule: Rule) -> str:
+    return f"{rule.rule_id}@{rule.version}"
+
+
+def _has(lower: Column, *rules: Rule) -> Column:
     guard = F.lit(False)
-    for w in rule.words:
+    for w in dict.fromkeys(w for r in rules for w in r.words):
         guard = guard | lower.contains(w)
     return guard
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, ledger, findings): (id, blob, rule_id, rule_version, secret_sha, n) of all paths, and both tables for the next run."""
+    """(rows, ledger, findings): (id, blob, rule_id, rule_version, secret_sha, n) of all paths, and what is new for both tables."""
     spark = docs.sparkSession
     ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
     findings = spark.createDataFrame([], FINDINGS) if findings is None else findings
-    table = spark.createDataFrame([(r.rule_id, r.version, k) for k, r in enumerate(rules)], "rule_id string, rule_version int, k int")  # as long as the rule list
-    now = F.broadcast(table)
-    versions = docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull()).withColumn("blob", blob_of(F.col("__text")))
-    seen = ledger.join(now, ["rule_id", "rule_version"]).groupBy("blob").agg(F.collect_set("k").alias("seen"))
-    blobs = versions.groupBy("blob").agg(F.min("path").alias("rep"))
-    todo = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<int>"))).where(F.size("seen") < len(rules))
-    chosen = todo.select(F.col("blob").alias("__tb"), "rep", "seen")
-    once = versions.join(chosen, (F.col("blob") == F.col("__tb")) & F.col("path").eqNullSafe(F.col("rep"))).select("blob", "__text", "seen")
+    now = F.broadcast(spark.createDataFrame([(r.rule_id, r.version, k) for k, r in enumerate(rules)], "rule_id string, rule_version int, k int"))  # as long as the rule list
+    text = docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    versions = text.select("path", blob_of(F.col("__text")).alias("blob"), F.when(_has(F.lower("__text"), *rules), F.col("__text")).alias("__text"))
+    present = F.array(*(F.lit(version_of(r)) for r in rules))
+    seen = ledger.groupBy("blob").agg(F.array_intersect(F.flatten(F.collect_list("scanned")), present).alias("seen"))
+    blobs = versions.groupBy("blob").agg(F.first("__text").alias("__text"))  # equal texts, of which one is kept
+    todo = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).where(F.size("seen") < len(rules))
     lower, none = F.lower("__text"), F.array().cast("array<struct<k:int,secret_sha:string>>")
 
     def hits(k: int, r: Rule) -> Column:
         found = F.transform(F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0)), lambda m: F.struct(F.lit(k).alias("k"), F.sha2(m, 256).alias("secret_sha")))
-        return F.when(~F.array_contains("seen", k) & _has(lower, r), found).otherwise(none)
-
-    rows = once.select("blob", F.explode(F.flatten(F.array(*(hits(k, r) for k, r in enumerate(rules))))).alias("hit")).select("blob", "hit.*")
-    # a repeated row of a path is scanned as often as it occurs, in equal parts
-    copies = versions.groupBy(F.col("blob").alias("__cb"), F.col("path").alias("__cp")).agg(F.count("*").alias("copies")).where("copies > 1")
-    reps = blobs.join(copies, (F.col("blob") == F.col("__cb")) & F.col("rep").eqNullSafe(F.col("__cp"))).select("blob", "copies")
-    new = rows.groupBy("blob", "k", "secret_sha").agg(F.count("*").alias("n")).join(reps, "blob", "left").withColumn("n", F.expr("n div coalesce(copies, 1)"))
-    new = new.join(now, "k").select("blob", "rule_id", "rule_version", "secret_sha", "n")
-    kept = findings.join(now, ["rule_id", "rule_version"], "left_semi").select("blob", "rule_id", "rule_version", "secret_sha", "n")
-    all_findings = kept.unionByName(new)
-    paths = versions.select("path", "blob").distinct()
-    out = paths.join(all_findings, "blob").select(F.col("path").alias(id_col), "blob", "rule_id", "rule_version", "secret_sha", "n")
-    fresh = todo.crossJoin(now).where(~F.array_contains("seen", F.col("k"))).select("blob", "rule_id", "rule_version")
-    return out, ledger.select("blob", "rule_id", "rule_version").unionByName(fresh), findings.unionByName(new)
+        return F.when(~F.array_contains("seen", version_of(r)) & _has(lower, r), found).otherwise(none)
 
+    rows = todo.where("__text is not null").select("blob", F.explode(F.flatten(F.array(*(hits(k, r) for k, r in enumerate(rules))))).alias("hit")).select("blob", "hit.*")
+    new = rows.groupBy("blob", "k", "secret_sha").agg(F.count("*").alias("n")).join(now, "k").select("blob", "rule_id", "rule_version", "secret_sha", "n")
+    kept = findings.join(now, ["rule_id", "rule_version"], "left_semi").select("blob", "rule_id", "rule_version", "secret_sha", "n").distinct()
+    paths = versions.where("__text is not null").select("path", "blob").distinct()
+    out = paths.join(kept.unionByName(new), "blob").select(F.col("path").alias(id_col), "blob", "rule_id", "rule_version", "secret_sha", "n")
+    return out, todo.select("blob", F.array_except(present, "seen").alias("scanned")), new
 
-def redact(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with every match of every rule replaced by [rule redacted]."""
-    for r in rules:
-        text = F.regexp_replace(text, F.lit(r.pattern), F.lit(f"[{r.rule_id} redacted]"))
-    return text
+
+def scan_stored(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of scan() with the ledger and findings of a shared folder, to which those of this run are added."""
+    spark = docs.sparkSession
+    schemas = {"findings": FINDINGS, "ledger": LEDGER}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{folder}/{name}")
+    before = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in schemas.items()}
+    _, ledger, findings = scan(docs, rules, **before, id_col=id_col, text_col=text_col)
+    findings.write.mode("append").parquet(f"{folder}/findings")
+    ledger.write.mode("append").parquet(f"{folder}/ledger")
+    # all is seen now, so these rows are the stored findings joined to their paths
+    found = spark.read.schema(FINDINGS).parquet(f"{folder}/findings")
+    now = F.broadcast(spark.createDataFrame([(r.rule_id, r.version) for r in rules], "rule_id string, rule_version int"))
+    text = docs.where(F.col(text_col).isNotNull() & _has(F.lower(F.col(text_col)), *rules))
+    paths = text.select(F.col(id_col), blob_of(F.col(text_col)).alias("blob")).distinct()
+    return paths.join(found.join(now, ["rule_id", "rule_version"], "left_semi").select("blob", "rule_id", "rule_version", "secret_sha", "n").distinct(), "blob").select(id_col, "blob", "rule_id", "rule_version", "secret_sha", "n")
 
 
-def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows; in those whose blob has findings the secrets are redacted and the character count is made anew."""
-    found = scan(docs, rules, None, None, id_col, text_col)[0].select(F.col("blob").alias("__blob")).distinct()
-    at = docs.withColumn("__at", blob_of(F.col(text_col)))
-    hit = at.join(found.withColumn("__hit", F.lit(True)), F.col("__at") == F.col("__blob"), "left")
-    clean = hit.withColumn(text_col, F.when(F.col("__hit"), redact(F.col(text_col), rules)).otherwise(F.col(text_col)))
+def redact(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The text with every match of every rule replaced by [rule redacted]; a rule is tried where the text as it came has its keyword."""
+    lower, out = F.lower(text), text
+    for r in rules:
+        out = F.when(_has(lower, r), F.regexp_replace(out, F.lit(r.pattern), F.lit(f"[{r.rule_id} redacted]"))).otherwise(out)
+    return out
+
+
+def stage(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows, with the secrets in their texts redacted and the character count of such texts made anew.
+
+    Each text is scanned where it lies, by the rules of scan(): no row travels. A ledger would spare nothing here, as the
+    pipeline has no two rows of one text left.
+    """
+    plain = numbered(docs)
+    name = dict(zip(docs.columns, plain.columns))
+    text = F.col(name[text_col])
+    out = plain.withColumn("__clean", F.when(_has(F.lower(text), *rules), redact(text, rules)).otherwise(text))
+    changed = F.col("__clean") != text
+    made = {text_col: F.col("__clean")}
     if chars_col in docs.columns:
-        clean = clean.withColumn(chars_col, F.when(F.col("__hit"), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return clean.select(*docs.columns)
+        made[chars_col] = F.when(changed, F.length("__clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(name[chars_col]))
+    return out.select(*(made.get(c, F.col(p)).alias(c) for c, p in name.items()))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:

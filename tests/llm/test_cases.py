@@ -78,6 +78,7 @@ def test_language(docs, none):
     assert language_id.stage(none).count() == 0
     empty = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert all(r.rejected for r in language_id.identify(docs, empty).collect())
+    assert all(r.rejected == r.ambiguous for r in rows)
     one = language_id.train(docs.withColumn("lang", F.lit("en")))
     assert {r.lang_id for r in language_id.identify(docs, one).collect()} == {"en", None}
 
@@ -87,7 +88,10 @@ def test_minhash(docs, none):
     assert rows == {1: (1, 3), 2: (1, 3), 3: (1, 3)}
     kept = prob_minhash.stage(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "8", "9", "None", "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "8", "9", "None"])
+    # unlike texts of one id stay, copies go whatever their ids are
+    mixed = docs.sparkSession.createDataFrame([(1, "a text of its own here"), (1, PASSAGE), (2, PASSAGE + " end"), (None, PASSAGE), (None, PASSAGE), (3, "quite another thing")], "doc_id bigint, text string")
+    assert sorted(map(str, prob_minhash.stage(mixed).collect())) == sorted(map(str, [r for r in mixed.collect() if r.text[:4] != "word"] + [r for r in mixed.collect() if (r.doc_id, r.text) == (1, PASSAGE)]))
     assert prob_minhash.groups(none).count() == 0 and prob_minhash.stage(none).count() == 0
 
 
@@ -102,17 +106,18 @@ def test_secrets(spark, docs, none):
     rows, ledger, findings = secret_ledger.scan(docs)
     got = rows.collect()
     assert [(r.doc_id, r.rule_id, r.n) for r in got] == [(7, "aws_access_key", 2)]
-    assert ledger.count() == len(secret_ledger.RULES) * len({t for _, t, _, _ in TEXTS if t is not None})
+    blobs = len({t for _, t, _, _ in TEXTS if t is not None})
+    assert ledger.count() == blobs and {len(r.scanned) for r in ledger.collect()} == {len(secret_ledger.RULES)}
     # all is seen: nothing is scanned again, a new path of the same blob gets its finding
     ledger, findings = spark.createDataFrame(ledger.collect(), secret_ledger.LEDGER), spark.createDataFrame(findings.collect(), secret_ledger.FINDINGS)
     more = docs.unionByName(docs.where("doc_id = 7").withColumn("doc_id", F.lit(70).cast("bigint")))
-    again, after, _ = secret_ledger.scan(more, ledger=ledger, findings=findings)
-    assert sorted((r.doc_id, r.n) for r in again.collect()) == [(7, 2), (70, 2)] and after.count() == ledger.count()
+    again, after, new = secret_ledger.scan(more, ledger=ledger, findings=findings)
+    assert sorted((r.doc_id, r.n) for r in again.collect()) == [(7, 2), (70, 2)] and after.count() == 0 == new.count()
     # a new version of a rule is scanned alone, and the old version's findings are out of date
     rules = tuple(secret_ledger.Rule(r.rule_id, r.version + (r.rule_id == "aws_access_key"), r.pattern, r.words) for r in secret_ledger.RULES)
     third, after, _ = secret_ledger.scan(docs, rules, ledger, findings)
     assert [(r.doc_id, r.rule_version, r.n) for r in third.collect()] == [(7, 2, 2)]
-    assert after.count() == ledger.count() * (len(rules) + 1) // len(rules)
+    assert {tuple(r.scanned) for r in after.collect()} == {("aws_access_key@2",)} and after.count() == blobs
     clean = secret_ledger.stage(docs)
     assert clean.columns == docs.columns and clean.count() == len(TEXTS)
     text = clean.where("doc_id = 7").first()
@@ -120,6 +125,18 @@ def test_secrets(spark, docs, none):
     assert secret_ledger.scan(none)[0].count() == 0 and secret_ledger.stage(none).count() == 0
 
 
+def test_stored_ledger(docs, none, tmp_path):
+    at = f"file://{tmp_path}/ledger"
+    assert secret_ledger.scan_stored(docs.where("doc_id < 7"), at).count() == 0
+    size = lambda name: docs.sparkSession.read.parquet(f"{at}/{name}").count()
+    seen = size("ledger")
+    assert 0 < seen < len({t for _, t, _, _ in TEXTS if t is not None}) and size("findings") == 0
+    for _ in range(2):  # the second time there is nothing left to scan
+        assert [(r.doc_id, r.rule_id, r.n) for r in secret_ledger.scan_stored(docs, at).collect()] == [(7, "aws_access_key", 2)]
+        assert size("ledger") == len({t for _, t, _, _ in TEXTS if t is not None}) and size("findings") == 1
+    assert secret_ledger.scan_stored(none, at).count() == 0
+
+
 def test_mixing(docs, none):
     rows = mixing.assign(docs, weights={"a": 1, "b": 1}, block=1).collect()
     sources = [r.source for r in rows]
@@ -127,6 +144,7 @@ def test_mixing(docs, none):
     assert mixing.stage(docs).columns == docs.columns
     assert mixing.assign(none).count() == 0 and mixing.stage(none).count() == 0
     assert mixing.assign(docs, weights={"zzz": 1.0}).count() == 0
+    assert mixing.assign(docs).count() == len(TEXTS)  # without weights no row is dropped
 
 
 def test_quality(spark, docs, none):

@@ -1,8 +1,11 @@
 """The whole job of an operator, where a part of it was once left out."""
 
+import collections
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sidera.llm import mixing, queries, secret_ledger
 from tests.compare import rows
@@ -46,3 +49,46 @@ def test_secrets_of_all_names_noises_and_whole_keys(spark):
 def test_a_tiny_or_null_source_does_not_shrink_the_draw(sizes):
     blocks = {"" if k == len(sizes) - 1 else f"s{k}": n for k, n in enumerate(sizes)}
     assert mixing.quotas(blocks) == blocks
+    drawn = mixing.quotas(blocks, mixing.tempered())
+    assert drawn[""] == blocks[""] and sum(drawn.values()) >= 0.5 * sum(sizes)
+    equal = mixing.quotas(blocks, dict.fromkeys(blocks, 1.0))
+    assert equal[""] == blocks[""] and sum(equal.values()) >= 0.25 * sum(sizes)
+
+
+def test_tempered_weights_are_met():
+    blocks = {"hot": 93_000, **{f"s{k}": 8_600 + 10 * k for k in range(19)}}
+    drawn, want = mixing.quotas(blocks, mixing.tempered()), mixing.tempered()(blocks)
+    share = sum(drawn.values()) / sum(want.values())
+    assert all(abs(drawn[s] - want[s] * share) <= 1 for s in blocks) and sum(drawn.values()) > 0.75 * sum(blocks.values())
+
+
+def test_draw_against_a_plain_version(spark):
+    """Blocks, quotas, shards and positions of a draw, made again row by row without any code of the operator but the tree's splits."""
+    docs = spark.createDataFrame([(k, "abc"[min(2, k % 5)]) for k in range(997)], "doc_id bigint, source string")
+    weights, block, rows_a_shard, seed = {"a": 2.0, "b": 1.0, "c": 3.0}, 3, 50, 23
+    got = {r.doc_id: (r.shard, r.position) for r in mixing.assign(docs, weights, block=block, shard_rows=rows_a_shard, seed=seed).collect()}
+    rank = {r.doc_id: (r.h, r.s) for r in docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).withColumn("s", F.xxhash64(F.lit(seed + 1), "doc_id", "h")).collect()}
+    by = collections.defaultdict(list)
+    for r in docs.collect():
+        by[r.source].append(r.doc_id)
+    blocks = {s: -(-len(v) // block) for s, v in by.items()}
+    size = max(n for n in range(sum(blocks.values()) + 1) if all(n * w / 6 <= blocks[s] + 1e-9 for s, w in weights.items()))
+    quota = {s: int(size * w / 6) for s, w in weights.items()}
+    for s in sorted(weights, key=lambda s: (quota[s] - size * weights[s] / 6, s))[: size - sum(quota.values())]:
+        quota[s] += 1
+    shards = -(-sum(quota.values()) * block // rows_a_shard)
+    nodes = {(0, shards): [quota[s] for s in "abc"]}
+    while any(hi - lo > 1 for lo, hi in nodes):
+        lo, hi = next(x for x in nodes if x[1] - x[0] > 1)
+        q, mid = nodes.pop((lo, hi)), (lo + hi) // 2
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(q, sum(q) * (mid - lo) // (hi - lo), method="marginals").tolist()
+        nodes[lo, mid], nodes[mid, hi] = left, [x - y for x, y in zip(q, left)]
+    want, at = {}, dict.fromkeys("abc", 0)
+    order = {s: sorted(v, key=lambda i: rank[i][0] % 2**64) for s, v in by.items()}
+    for lo in range(shards):
+        members = []
+        for s, n in zip("abc", nodes[lo, lo + 1]):
+            members += order[s][at[s] : at[s] + n * block]
+            at[s] += n * block
+        want |= {i: (lo, p) for p, i in enumerate(sorted(members, key=lambda i: (rank[i][1], i)))}
+    assert got == want
