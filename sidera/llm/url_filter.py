@@ -6,14 +6,23 @@ path, and the path with its query. Rules are expressions too. URLs and rules mee
 bytes of the expressions' SHA-256; the whole digest confirms, and of the rules confirmed one wins: the highest
 priority, then the longest expression, then allow before block, then the least rule id.
 
+The expressions themselves are never made: the digest of a suffix is carried on along the path, and its state at each
+slash gives that prefix's digest. So the work grows with the URL's length times the host's labels, not with the square
+of the length, and what travels is a row of fixed size for each expression, under the URL's own digest.
+
 Cases: a null URL, or one without scheme and host, gets no rule and the action 'none' (all rows come back); a host that
 is a number or has one label has itself as its only suffix; rows that repeat are decided each; a rule with a null
-expression matches nothing; two rules with one expression are resolved by precedence. Other columns are ignored.
+expression matches nothing; two rules with one expression are resolved by precedence; URLs are of any length. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES_SCHEMA = "rule_id int, expression string, action string, priority int"
@@ -26,38 +35,81 @@ RULES = tuple((k, f"{family}.{domain}/", "block", 0) for k, (family, domain) in
 _SHAPE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
-def _parts(url: Column) -> tuple[Column, Column, Column]:
-    """(host or '', path, query)."""
-    host = F.lower(F.regexp_replace(F.regexp_extract(url, _SHAPE, 1), r"^.*@|:[0-9]*$|\.+$", ""))
-    path = F.regexp_extract(url, _SHAPE, 2)
-    return host, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, _SHAPE, 3)
+_URL = re.compile(_SHAPE)
+_NUMBER = re.compile(r"[0-9.]+")
+_PORT = re.compile(r":[0-9]*\Z")
+#: Expressions of a batch that goes on.
+ROWS = 1 << 16
 
 
-def expressions(url: Column) -> Column:
-    """All expressions of a URL, each once."""
-    host, path, query = _parts(url)
-    labels = F.split(host, r"\.", -1)
-    whole = host.rlike(r"^[0-9.]+$") | (F.size(labels) < 2)
-    suffixes = F.when(whole, F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    steps = F.split(path, "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")))
-    prefixes = F.array_distinct(F.concat(prefixes, F.array(path, F.concat(path, query))))
-    made = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    return F.when(host != "", made).otherwise(F.array().cast("array<string>"))
+def parts(url: str) -> tuple[str, str, str]:
+    """(host or '', path, query)."""
+    m = _URL.match(url)
+    if m is None:
+        return "", "/", ""
+    host = m[1].rpartition("@")[2]
+    port = host.rfind(":")
+    host = host[:port] if port >= 0 and _PORT.match(host, port) else host.rstrip(".")
+    return host.lower(), m[2] or "/", m[3] or ""
+
+
+def suffixes(host: str) -> list[str]:
+    if not host or _NUMBER.fullmatch(host):
+        return [host] if host else []
+    dots = [k + 1 for k, c in enumerate(host) if c == "."]
+    return [host[k:] for k in (0, *dots[:-1])]
+
+
+def digests(url: str) -> Iterator[bytes]:
+    """The SHA-256 of every expression of a URL, each once."""
+    host, path, query = parts(url)
+    steps = [x.encode("utf-8", "surrogatepass") for x in path.split("/")]
+    for suffix in suffixes(host):
+        state = sha256(suffix.encode("utf-8", "surrogatepass"))
+        for step in steps[:-1]:
+            state.update(step + b"/")
+            yield state.digest()
+        if steps[-1]:  # else the whole path is the last prefix
+            state.update(steps[-1])
+            yield state.digest()
+        if query:
+            state.update(query.encode("utf-8", "surrogatepass"))
+            yield state.digest()
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, prefix, digest) of the expressions of URLs (u, url)."""
+    names = ["u", "prefix", "digest"]
+    for batch in batches:
+        us: list[bytes] = []
+        found: list[bytes] = []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array([int.from_bytes(d[:4], "big", signed=True) for d in found], pa.int32()), pa.array(found, pa.binary())], names)
+
+        for u, url in zip(batch.column("u").to_pylist(), batch.column("url").to_pylist()):
+            for digest in digests(url):
+                us.append(u)
+                found.append(digest)
+                if len(found) == ROWS:
+                    yield packed()
+                    us, found = [], []
+        yield packed()
 
 
 def decide(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, url, action, rule_id, expression) of every row."""
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    urls = source.where(F.col("url").isNotNull()).select("url").distinct()
-    asked = urls.select("url", F.explode(expressions(F.col("url"))).alias("expression"))
-    asked = asked.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, 8))
-    known = rules.where(F.col("expression").isNotNull()).select("rule_id", F.sha2("expression", 256).alias("full"), F.col("action").alias("does"), "priority")
-    known = known.withColumn("prefix", F.substring("full", 1, 8))
+    key = F.unhex(F.sha2(F.col("url"), 256))
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("u", key)
+    urls = source.where("url is not null").groupBy("u").agg(F.first("url").alias("url"))
+    asked = urls.mapInArrow(_ask, "u binary, prefix int, digest binary")
+    known = rules.where(F.col("expression").isNotNull()).select("rule_id", F.unhex(F.sha2("expression", 256)).alias("full"), F.col("action").alias("does"), "priority", "expression")
+    known = known.withColumn("prefix", F.conv(F.hex(F.substring("full", 1, 4)), 16, 10).cast("bigint"))
+    known = known.withColumn("prefix", F.when(F.col("prefix") >= 1 << 31, F.col("prefix") - (1 << 32)).otherwise(F.col("prefix")).cast("int"))
     hits = asked.join(known, "prefix").where(F.col("digest") == F.col("full"))
     rank = F.struct(-F.col("priority"), -F.length("expression"), F.col("does") != "allow", "rule_id")
-    won = hits.groupBy(F.col("url").alias("u")).agg(F.min_by(F.struct("does", "rule_id", "expression"), rank).alias("w"))
-    out = source.join(won, F.col("url") == F.col("u"), "left")
+    won = hits.groupBy(F.col("u").alias("w_u")).agg(F.min_by(F.struct("does", "rule_id", "expression"), rank).alias("w"))
+    out = source.join(won, F.col("u") == F.col("w_u"), "left")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.coalesce("w.does", F.lit("none")).alias("action"), F.col("w.rule_id").alias("rule_id"), F.col("w.expression").alias("expression"))
 
 

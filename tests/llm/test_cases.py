@@ -177,6 +177,36 @@ def test_urls(spark):
     assert {r.action for r in url_filter.decide(pages, rules.limit(0)).collect()} == {"none"}
 
 
+def test_url_expressions():
+    """The digests of a URL's expressions are those of the strings, made one by one."""
+    import hashlib
+
+    for url, host, paths in (
+        ("http://u@A.B.Example.com:80/a/b.html?q=1#f", "a.b.example.com", ["/", "/a/", "/a/b.html", "/a/b.html?q=1"]),
+        ("https://example.com", "example.com", ["/"]),
+        ("https://example.com./x/", "example.com", ["/", "/x/"]),
+        ("https://example.com?q=/z/", "example.com", ["/", "/?q=/z/"]),
+        ("ftp://10.0.0.1//a", "10.0.0.1", ["/", "//", "//a"]),
+    ):
+        labels = host.split(".")
+        ends = [host] if host[0].isdigit() else [".".join(labels[k:]) for k in range(max(1, len(labels) - 1))]
+        want = sorted(hashlib.sha256((e + p).encode()).digest() for e in ends for p in paths)
+        assert sorted(url_filter.digests(url)) == want, url
+    assert not list(url_filter.digests("no url")) and not list(url_filter.digests("http:///path"))
+
+
+def test_long_urls_and_many_rules(spark):
+    import time
+
+    slashes = "http://a.example.com/" + "p/" * 500_000
+    pages = spark.createDataFrame([(1, slashes), (2, "http://b.example.com/" + "x" * 1_000_000), (3, "http://host77.example.net/a/b"), (4, "http://" + "h." * 300 + "example.org/" + "q/" * 300)], "page_id int, url string")
+    rules = [(k, f"host{k}.example.net/", "block", 0) for k in range(1, 50_001)] + [(60_000, "example.com/" + "p/" * 400_000, "block", 0), (60_001, "b.example.com/", "allow", 0), (60_002, "h.h.example.org/q/q/", "block", 1)]
+    start = time.time()
+    got = {r.page_id: (r.action, r.rule_id) for r in url_filter.decide(pages, spark.createDataFrame(rules, url_filter.RULES_SCHEMA)).collect()}
+    assert got == {1: ("block", 60_000), 2: ("allow", 60_001), 3: ("block", 77), 4: ("block", 60_002)}
+    assert time.time() - start < 60
+
+
 def test_pictures(spark):
     import numpy as np
 
