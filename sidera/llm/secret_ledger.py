@@ -70,6 +70,12 @@ def _has(lower: Column, *rules: Rule) -> Column:
     return guard
 
 
+def _at_paths(docs: DataFrame, findings: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Findings by blob at all paths that hold it. Only hashes travel, and rows are made distinct when few are left."""
+    paths = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), blob_of(F.col(text_col)).alias("blob"))
+    return paths.join(findings, "blob").select(id_col, "blob", "rule_id", "rule_version", "secret_sha", "n").distinct()
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, ledger, findings): (id, blob, rule_id, rule_version, secret_sha, n) of all paths, and what is new for both tables."""
     spark = docs.sparkSession
@@ -91,8 +97,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     rows = todo.where("__text is not null").select("blob", F.explode(F.flatten(F.array(*(hits(k, r) for k, r in enumerate(rules))))).alias("hit")).select("blob", "hit.*")
     new = rows.groupBy("blob", "k", "secret_sha").agg(F.count("*").alias("n")).join(now, "k").select("blob", "rule_id", "rule_version", "secret_sha", "n")
     kept = findings.join(now, ["rule_id", "rule_version"], "left_semi").select("blob", "rule_id", "rule_version", "secret_sha", "n").distinct()
-    paths = versions.where("__text is not null").select("path", "blob").distinct()
-    out = paths.join(kept.unionByName(new), "blob").select(F.col("path").alias(id_col), "blob", "rule_id", "rule_version", "secret_sha", "n")
+    out = _at_paths(docs, kept.unionByName(new), id_col, text_col)
     return out, todo.select("blob", F.array_except(present, "seen").alias("scanned")), new
 
 
@@ -109,9 +114,8 @@ def scan_stored(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, i
     # all is seen now, so these rows are the stored findings joined to their paths
     found = spark.read.schema(FINDINGS).parquet(f"{folder}/findings")
     now = F.broadcast(spark.createDataFrame([(r.rule_id, r.version) for r in rules], "rule_id string, rule_version int"))
-    text = docs.where(F.col(text_col).isNotNull() & _has(F.lower(F.col(text_col)), *rules))
-    paths = text.select(F.col(id_col), blob_of(F.col(text_col)).alias("blob")).distinct()
-    return paths.join(found.join(now, ["rule_id", "rule_version"], "left_semi").select("blob", "rule_id", "rule_version", "secret_sha", "n").distinct(), "blob").select(id_col, "blob", "rule_id", "rule_version", "secret_sha", "n")
+    kept = found.join(now, ["rule_id", "rule_version"], "left_semi").select("blob", "rule_id", "rule_version", "secret_sha", "n").distinct()
+    return _at_paths(docs, kept, id_col, text_col)
 
 
 def redact(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
