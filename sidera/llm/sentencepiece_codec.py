@@ -8,6 +8,11 @@ A text's white space becomes the marker U+2581, with one marker put before the t
 after another character, the best path of a text is that of its segments (markers, then other characters), so
 each distinct segment is solved once and kept, and all new segments of a step are solved together in NumPy.
 
+A long segment, such as a text without spaces, is cut in lanes that are solved side by side, each from WARM bytes before
+its own part on. What a lane decides depends on the scores of the last `reach` nodes before it only by their
+differences, as no piece is longer. So a lane that has the differences of the lane before it there decides as if all had
+been solved in one go; one that hasn't is solved again from the scores of the lane before. Hence the result is exact.
+
 Cases: a null text gives null ids and a null decoded text; the empty text gives no ids and decodes to ''; a
 character that no piece holds, and the marker character itself where the text has it, go by their UTF-8 bytes,
 so decode(encode(text)) is the text always. Equal scores go to the piece that begins earlier. Rows are kept as
@@ -107,8 +112,12 @@ class Codec:
 
     #: Distinct segments that are kept at once.
     KEEP = 300_000
+    #: Characters of segments that are kept at once.
+    KEEP_CHARS = 30_000_000
     #: Characters of segments that are solved at once.
     PIECE = 100_000
+    #: Bytes from which a segment is cut in lanes of LANE bytes, each begun WARM bytes early.
+    LONG, LANE, WARM = 8192, 1024, 256
 
     def __init__(self, model: str):
         self.pieces = read_pieces(model)
@@ -118,19 +127,24 @@ class Codec:
         for i, (p, _, t) in enumerate(self.pieces):
             if t == BYTE:
                 self.byte_id[int(p[3:5], 16)] = i
+        self.reach = max([4, *(len(p.encode()) for p, _, t in self.pieces if t in (NORMAL, USER))])
         self.unknown = min(self.score[i] for i, (_, _, t) in enumerate(self.pieces) if t == NORMAL) - 10.0
-        self.ids = np.zeros(0, np.int32)
         self._forget()
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t in (NORMAL, USER) else b"" for p, _, t in self.pieces]
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def solve(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the best path of each segment, one after another, and the number of ids of each."""
-        raw = [s.encode() for s in segments]
+        # the marker character where a text has it itself, under a key that is no segment
+        mark = self.byte_id[list(MARK.encode())]
+        self.at: dict[str | None, int] = {None: 0}
+        self.starts = np.array([0, len(mark)], np.int64)
+        self.ids = mark.astype(np.int32)
+        self.kept = 0
+
+    def _forward(self, raw: list[bytes], seeds: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Scores and best last edges of all nodes of texts, which begin where `nodes` says, and the edges (from, to, id) by byte of all texts.
+
+        seeds: scores of the first nodes of the one text, in place of 0 at its first.
+        """
         n = np.array([len(r) for r in raw], np.int64)
         begin = np.cumsum(n) - n
         text = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
@@ -165,15 +179,21 @@ class Codec:
         ids.append(np.full(len(lone), -1, np.int32))
         a, b, i = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
         gain = np.where(i >= 0, self.score[i], self.unknown)
-        # the step at which an edge is used: the offset of its end in its segment; then later begins first
+        # the step at which an edge is used: the offset of its end in its text; then later begins first
         rel = b - begin[seg[a]]
+        if seeds is not None:
+            some = rel >= len(seeds)
+            a, b, i, gain, rel = a[some], b[some], i[some], gain[some], rel[some]
         # every depth of the walk has its ends in order, and a deeper one begins earlier: two stable sorts of few runs
         order = np.argsort(b, kind="stable")
         order = order[np.argsort(rel[order].astype(np.uint16) if rel.max(initial=0) < 65536 else rel[order], kind="stable")]
         a, b, i, gain, rel = a[order], b[order], i[order], gain[order], rel[order]
         best = np.full(total + len(raw) + 1, -np.inf)
-        node_a, node_b = a + seg[a], b + seg[a]  # a segment has one node more than bytes
-        best[begin + np.arange(len(raw))] = 0.0
+        node_a, node_b = a + seg[a], b + seg[a]  # a text has one node more than bytes
+        nodes = begin + np.arange(len(raw))
+        best[nodes] = 0.0
+        if seeds is not None:
+            best[: len(seeds)] = seeds
         via = np.full(len(best), -1, np.int64)
         cuts = np.flatnonzero(np.diff(rel, prepend=-1, append=-1))
         for lo, hi in zip(cuts, cuts[1:]):
@@ -185,8 +205,15 @@ class Codec:
             # of equal scores the piece that begins earlier, which is the last of its group, is written last
             win = np.flatnonzero(reach == np.repeat(top, np.diff(np.append(heads, hi - lo))))
             via[target[win]] = lo + win
+        return best, via, nodes, a, b, i, node_a, text
+
+    def solve(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the best path of each segment, one after another, and the number of ids of each."""
+        raw = [s.encode() for s in segments]
+        n = np.array([len(r) for r in raw], np.int64)
+        _, via, nodes, a, b, i, node_a, text = self._forward(raw)
         # back along the best paths, all segments a step at a time
-        node = begin + n + np.arange(len(raw))
+        node = nodes + n
         owner = np.arange(len(raw))
         outs, owners = [], []
         alive = n > 0
@@ -196,41 +223,109 @@ class Codec:
             outs.append(edge)
             owners.append(owner)
             node = node_a[edge]
-            on = node > (begin + np.arange(len(raw)))[owner]
+            on = node > nodes[owner]
             node, owner = node[on], owner[on]
         edges = np.concatenate(outs)[::-1] if outs else np.zeros(0, np.int64)
         owners = np.concatenate(owners)[::-1] if owners else edges
         order = np.argsort(owners, kind="stable")
         edges, owners = edges[order], owners[order]
-        # pieces, or the bytes of a character that none holds
-        width = np.where(i[edges] >= 0, 1, b[edges] - a[edges])
-        which = np.repeat(np.arange(len(edges)), width)
+        ids, width = self._spell(i[edges], a[edges], b[edges], text)
+        return ids, np.bincount(owners, weights=width, minlength=len(raw)).astype(np.int64)
+
+    def _spell(self, i: np.ndarray, a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each edge): its piece, or the bytes of a character that none holds."""
+        width = np.where(i >= 0, 1, b - a)
+        which = np.repeat(np.arange(len(i)), width)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width)
-        out = np.where(i[edges][which] >= 0, i[edges][which], self.byte_id[text[a[edges][which] + inner]])
-        return out.astype(np.int32), np.bincount(owners, weights=width, minlength=len(raw)).astype(np.int64)
+        return np.where(i[which] >= 0, i[which], self.byte_id[text[a[which] + inner]]).astype(np.int32), width
+
+    def solve_long(self, segment: str) -> np.ndarray:
+        """The ids of one segment of any length, lane by lane."""
+        raw = segment.encode()
+        size = len(raw)
+        text = np.frombuffer(raw, np.uint8)
+
+        def border(at: int) -> int:  # the character's begin at or before a byte
+            while 0 < at < size and raw[at] & 0xC0 == 0x80:
+                at -= 1
+            return max(0, at)
+
+        starts = [border(k) for k in range(0, size, self.LANE)]
+        stops = [*starts[1:], size]
+        back, piece = np.zeros(size + 1, np.int32), np.full(size + 1, -1, np.int32)  # by node: bytes and id of the last edge
+        before, known = np.zeros(1), {}  # scores of the nodes up to the lane's begin, of the lane before it
+
+        def take(s: int, e: int, lo: int, best: np.ndarray, via: np.ndarray, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> None:
+            edge = via[s + 1 - lo : e + 1 - lo]
+            ok = edge >= 0
+            back[s + 1 : e + 1] = np.where(ok, b[edge] - a[edge], 0)
+            piece[s + 1 : e + 1] = np.where(ok, i[edge], -1)
+
+        step = max(1, self.PIECE // (self.LANE + self.WARM))
+        for group in range(0, len(starts), step):
+            lanes = range(group, min(group + step, len(starts)))
+            begins = [border(starts[k] - max(self.WARM, self.reach)) for k in lanes]
+            best, via, nodes, a, b, i, _, _ = self._forward([raw[lo : stops[k]] for k, lo in zip(lanes, begins)])
+            byte = nodes - np.arange(len(nodes))  # where a lane's bytes begin among those of all
+            for k, lo, at, off in zip(lanes, begins, nodes.tolist(), byte.tolist()):
+                s, e = starts[k], stops[k]
+                own, edge = best[at : at + e - lo + 1], via[at : at + e - lo + 1]
+                seen = len(before)
+                if k:
+                    mine = own[s - lo + 1 - seen : s - lo + 1]
+                    fine = np.isfinite(before)
+                    apart = before[fine] - mine[fine] if (np.isfinite(mine) == fine).all() else np.array([0.0, 1.0])
+                    if (apart != apart[0]).any():
+                        lo = s + 1 - seen
+                        seeds = before - before[fine].max()
+                        key = raw[lo:e], seeds.tobytes()
+                        if key not in known:
+                            if len(known) > 256:
+                                known.clear()
+                            known[key] = self._forward([key[0]], seeds)
+                        own, edge, _, ka, kb, ki, _, _ = known[key]
+                        take(s, e, lo, own, edge, ka, kb, ki)
+                        before = own[e - lo + 1 - min(e - lo + 1, self.reach + 1) : e - lo + 1].copy()
+                        continue
+                take(s, e, lo, own, edge, a, b, i)
+                before = own[e - lo + 1 - min(e - lo + 1, self.reach + 1) : e - lo + 1].copy()
+        ends, at, steps_back = [], size, back.tolist()
+        while at:
+            ends.append(at)
+            at -= steps_back[at]
+        b = np.array(ends[::-1], np.int64)
+        return self._spell(piece[b], b - back[b], b, text)[0]
 
     def _learn(self, segments: list[str]) -> None:
+        long = [s for s in segments if len(s) * 4 > self.LONG and len(s.encode()) > self.LONG]
+        short = sorted(set(segments) - set(long)) if long else segments
         # a bounded number of bytes is solved at once: the lattice takes some hundred times as much
-        sizes = np.cumsum([len(s) for s in segments]) // self.PIECE
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(segments)]
-        solved = [self.solve(segments[a:b]) for a, b in zip(cuts, cuts[1:])]
+        sizes = np.cumsum([len(s) for s in short]) // self.PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(short)]
+        solved = [self.solve(short[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+        for s in long:
+            ids = self.solve_long(s)
+            solved.append((ids, np.array([len(ids)], np.int64)))
         ids, counts = (np.concatenate(x) for x in zip(*solved))
         known = len(self.at)
-        self.at.update(zip(segments, range(known, known + len(segments))))
+        self.at.update(zip([*short, *long], range(known, known + len(segments))))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, ids])
+        self.kept += sum(map(len, segments))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the offset at which each text's begin (one more than texts)."""
-        if len(self.at) > self.KEEP:
+        if len(self.at) > self.KEEP or self.kept > self.KEEP_CHARS:
             self._forget()
-        parts, odd = [], {}
-        for k, text in enumerate(texts):
+        parts: list[list[str | None]] = []
+        for text in texts:
             if not text:
                 parts.append([])
-            elif MARK in text:
-                odd[k] = self._with_marks(text)
-                parts.append([])
+            elif MARK in text:  # its own markers go by bytes
+                own: list[str | None] = []
+                for k, part in enumerate(text.split(MARK)):
+                    own += [None] * (k > 0) + SEGMENT.findall((MARK if k == 0 else "") + part.replace(" ", MARK))
+                parts.append(own)
             else:
                 parts.append(SEGMENT.findall(MARK + text.replace(" ", MARK)))
         new = {s for p in parts for s in p if s not in self.at}
@@ -239,25 +334,8 @@ class Codec:
         code = np.fromiter((self.at[s] for p in parts for s in p), np.int64)
         count = self.starts[code + 1] - self.starts[code]
         where = np.arange(count.sum()) + np.repeat(self.starts[code] - (np.cumsum(count) - count), count)
-        ids = self.ids[where]
         ends = np.concatenate([[0], np.cumsum(count)])
-        offsets = ends[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
-        if odd:
-            rows = [odd.get(k, ids[offsets[k] : offsets[k + 1]]) for k in range(len(texts))]
-            ids, offsets = np.concatenate(rows).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        return ids, offsets
-
-    def _with_marks(self, text: str) -> np.ndarray:
-        """A text that has the marker character itself: its own markers go by bytes."""
-        out, mark = [], self.byte_id[list(MARK.encode())]
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out.append(mark)
-            if part or k == 0:
-                body = (MARK if k == 0 else "") + part.replace(" ", MARK)
-                for s in SEGMENT.findall(body):
-                    out.append(self.solve([s])[0])
-        return np.concatenate(out)
+        return self.ids[where], ends[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: markers become spaces, byte pieces UTF-8, and the marker put before the text goes."""
