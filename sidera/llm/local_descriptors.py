@@ -2,20 +2,26 @@
 
 A media row is a grey picture: height, width and its bytes row by row. On each scale of a pyramid corners are the local
 maxima of the Harris measure; each corner's direction is that of the intensity centroid around it, and its descriptor
-is 256 comparisons of smoothed intensities at point pairs turned to that direction. A descriptor's eight
-words of 32 bits are keys of eight Hamming tables: corners of two pictures that share a word at one table are compared
-in full and match up to MOST_BITS differing bits (all within 7 bits share a word for sure). A match of two corners implies a
-similarity transform by their scales, directions and places; two pictures are copies if `least` matches with corners
-distinct on both sides agree on one transform. So copies that are cropped, scaled, turned or edited in part are found.
+is 256 comparisons of smoothed intensities at point pairs turned to that direction. A match is two descriptors that differ
+in MOST_BITS bits at most; it implies a similarity transform by the corners' scales, directions and places. Two pictures
+are copies if `least` matches with corners distinct on both sides agree on one transform. So copies that are cropped,
+scaled, turned or edited in part are found.
 
-Corners and matches travel packed by column and bucket, and each bucket is sorted in NumPy. Ids are whole numbers.
+1. A descriptor's eight words of 32 bits are keys of eight Hamming tables: corners that share a word at one table are
+   compared in full. All matches within 7 bits meet for sure, others by chance.
+2. Pairs of pictures of which SEED such matches agree on a transform are candidates. Those with `least` are copies;
+   of the others all corners are compared with all, so the tables need to find two matches of a copy only.
+
+Corners and matches travel packed by column and bucket, and each bucket is sorted in NumPy; the number of buckets follows
+from that of the corners, so a bucket's size doesn't grow with the table. Ids are whole numbers.
 
 All corners above a part of the picture's own greatest measure count, and all members of a table's entry are compared:
 there is no cap on corners, entries or partners.
 
 Cases: a row with a null id, null or short bytes, a size under 8 or a null size is in no pair; neither is a picture of
 one grey; rows that repeat an id are pictures of one medium, whose corners count together and once each; pairs are (lesser id, greater id), each once; of
-transforms with equally many matches the first match's counts. Other columns are ignored.
+transforms with equally many matches the first match's counts. `matches` and `agreeing` count what the tables found where
+that is enough, else all. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidera.llm.common import mix64
+from sidera.llm.common import durable, mix64
 
 SCALES = (1.0, 0.6)
 RADIUS, BITS, TURNS, MOST_BITS, SHARE, LEAST, NEAR = 13, 256, 36, 24, 0.02, 4, 3.0
-#: Words of a descriptor that have a table.
-TABLES = 8
+#: Words of a descriptor that have a table, and matches found there that make a pair of pictures a candidate.
+TABLES, SEED = 8, 2
+#: Bytes of entries in a bucket.
+BUCKET_BYTES = 64 << 20
 PAD = RADIUS + 3
 
 
@@ -167,37 +175,52 @@ CORNERS = "bucket int, id binary, tab binary, place binary, words binary"
 MATCHES = "bucket int, a binary, b binary, pa binary, pb binary"
 
 
-def _corners(buckets: int):
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, place, words) of each picture's corners."""
+    for batch in batches:
+        h, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w"))
+        raw = batch.column("pixels")
+        for hh, ww in np.unique(np.stack([h, w], 1), axis=0):
+            rows = np.flatnonzero((h == hh) & (w == ww))
+            step = max(1, 400_000 // int(hh * ww))
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                x = np.stack([np.frombuffer(raw[int(k)].as_buffer(), np.uint8, int(hh * ww)).reshape(hh, ww) for k in some])
+                i, s, px, py, t, words = describe(x)
+                c = np.zeros(len(i), PLACE)
+                c["x"], c["y"], c["s"] = np.rint(px * 64), np.rint(py * 64), [SCALES.index(v) for v in s]
+                c["t"] = np.rint(t / (2 * np.pi) * 256).astype(np.int64) % 256
+                order = np.argsort(i, kind="stable")
+                cut = np.searchsorted(i[order], np.arange(len(some) + 1))
+                c, words = c[order], words[order]
+                spans = list(zip(cut, cut[1:]))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([words[a:b].tobytes() for a, b in spans], pa.binary())], ["id", "place", "words"])
+
+
+def _tables(buckets: int):
+    """CORNERS of described pictures: every corner once for each table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            ids, place, words = (np.concatenate(v) for v in zip(*held))
-            n = len(ids)
-            tab = np.repeat(np.arange(TABLES, dtype=np.uint8), n)
+            whole = pa.Table.from_batches(held)
+            place, words = _whole(whole, "place", PLACE), _whole(whole, "words", np.uint32).reshape(-1, 8)
+            count = pa.compute.binary_length(whole.column("place")).to_numpy() // PLACE.itemsize
+            ids = np.repeat(whole.column("id").to_numpy(), count)
+            tab = np.repeat(np.arange(TABLES, dtype=np.uint8), len(ids))
             slot = mix64(words.T[:TABLES].ravel().astype(np.uint64) | tab.astype(np.uint64) << np.uint64(32))
             columns = {"id": np.tile(ids, TABLES), "tab": tab, "place": np.tile(place, TABLES), "words": np.tile(words, (TABLES, 1))}
             yield from _columns((slot % np.uint64(buckets)).astype(np.int64), columns).to_batches()
 
         for batch in batches:
-            h, w, ids = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w", "id"))
-            raw = batch.column("pixels").to_pylist()
-            for hh, ww in np.unique(np.stack([h, w], 1), axis=0):
-                rows = np.flatnonzero((h == hh) & (w == ww))
-                step = max(1, 400_000 // int(hh * ww))
-                for lo in range(0, len(rows), step):
-                    some = rows[lo : lo + step]
-                    x = np.stack([np.frombuffer(raw[k], np.uint8, int(hh * ww)).reshape(hh, ww) for k in some])
-                    i, s, px, py, t, words = describe(x)
-                    c = np.zeros(len(i), PLACE)
-                    c["x"], c["y"], c["s"] = np.rint(px * 64), np.rint(py * 64), [SCALES.index(v) for v in s]
-                    c["t"] = np.rint(t / (2 * np.pi) * 256).astype(np.int64) % 256
-                    held.append((ids[some[i.astype(np.int64)]], c, words))
-                    size += len(i) * TABLES
-                    if size >= HELD:
-                        yield from packed()
-                        held, size = [], 0
+            for lo in range(0, batch.num_rows, 1024):
+                held.append(batch.slice(lo, 1024))
+                size += sum(pa.compute.binary_length(held[-1].column("place")).to_numpy()) // PLACE.itemsize * TABLES
+                if size >= HELD:
+                    yield from packed()
+                    held, size = [], 0
         if held:
             yield from packed()
 
@@ -268,40 +291,83 @@ def _agree(least: int):
             agreeing, scale, turn = consensus(m)
             if agreeing >= least:
                 out.append((int(rows.a[h]), int(rows.b[h]), len(m), agreeing, scale, float(np.degrees(turn))))
-        kinds = {"a": pa.int64(), "b": pa.int64(), "matches": pa.int32(), "agreeing": pa.int32(), "scale": pa.float64(), "degrees": pa.float64()}
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(kinds.items())})
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(KINDS.items())})
 
     return solve
 
 
+def _all_corners(least: int):
+    """The pairs of pictures (a, b, their corners) of which `least` matches agree when all corners are compared with all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, pa_, wa, pb, wb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "pa", "wa", "pb", "wb"))):
+                place = [np.frombuffer(b"".join(x), PLACE) for x in (pa_, pb)]
+                words = [np.frombuffer(b"".join(x), np.uint64).reshape(-1, 4) for x in (wa, wb)]
+                pairs = []
+                for lo in range(0, len(words[0]), 1024):
+                    apart = sum(np.bitwise_count(words[0][lo : lo + 1024, k, None] ^ words[1][None, :, k]).astype(np.int16) for k in range(4))
+                    i, j = np.nonzero(apart <= MOST_BITS)
+                    pairs.append((i + lo, j))
+                i, j = (np.concatenate(x) for x in zip(*pairs))
+                m = np.unique(np.concatenate([_geometry(place[0][i]), _geometry(place[1][j])], 1), axis=0)
+                agreeing, scale, turn = consensus(m)
+                if agreeing >= least:
+                    out.append((a, b, len(m), agreeing, scale, float(np.degrees(turn))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(KINDS.values())], list(KINDS))
+
+    return run
+
+
+KINDS = {"a": pa.int64(), "b": pa.int64(), "matches": pa.int32(), "agreeing": pa.int32(), "scale": pa.float64(), "degrees": pa.float64()}
+PAIRS = "a bigint, b bigint, matches int, agreeing int, scale double, degrees double"
+
+
 def copies(media: DataFrame, least: int = LEAST, id_col: str = "media_id", height_col: str = "height", width_col: str = "width", pixels_col: str = "pixels") -> DataFrame:
     """(a, b, matches, agreeing, scale, degrees) of the pairs of pictures with `least` agreeing matches."""
-    buckets = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m = media.select(F.col(id_col).cast("bigint").alias("id"), F.col(height_col).alias("h"), F.col(width_col).alias("w"), F.col(pixels_col).alias("pixels"))
     m = m.where("id is not null and h >= 8 and w >= 8 and pixels is not null and length(pixels) >= cast(h as bigint) * w")
-    corners = m.mapInArrow(_corners(buckets), CORNERS)
-    matches = corners.groupBy("bucket").applyInArrow(_compare(buckets), MATCHES)
-    return matches.groupBy("bucket").applyInArrow(_agree(least), "a bigint, b bigint, matches int, agreeing int, scale double, degrees double")
-
-
-def pictures(vectors: DataFrame, side: int = 8, factor: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(media_id, height, width, pixels): each vector of side * side numbers drawn as a smooth grey picture; others are null."""
+    described = durable(m.mapInArrow(_described, "id bigint, place binary, words binary"))
+    corners = described.agg(F.sum(F.length("place"))).first()[0] or 0
+    entries = corners // PLACE.itemsize * TABLES * (PLACE.itemsize + 41)
+    buckets = max(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_BYTES))
+    matches = described.mapInArrow(_tables(buckets), CORNERS).groupBy("bucket").applyInArrow(_compare(buckets), MATCHES)
+    found = durable(matches.groupBy("bucket").applyInArrow(_agree(min(SEED, least)), PAIRS))
+    more = found.where(F.col("agreeing") < least).select("a", "b")
+    wanted = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
+    whole = described.join(wanted, "id", "left_semi").groupBy("id").agg(F.collect_list("place").alias("p"), F.collect_list("words").alias("w"))
+    sides = [whole.select(F.col("id").alias(x), F.col("p").alias(f"p{x}"), F.col("w").alias(f"w{x}")) for x in "ab"]
+    again = more.join(sides[0], "a").join(sides[1], "b").select("a", "b", "pa", "wa", "pb", "wb").mapInArrow(_all_corners(least), PAIRS)
+    return found.where(F.col("agreeing") >= least).unionByName(again)
+
+
+def pictures(vectors: DataFrame, factor: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(media_id, height, width, pixels): each vector drawn as a smooth grey square, of `factor` dots a number; its mean
+    fills up a square that it doesn't. Vectors that are null, empty or hold a null, NaN or infinity have null pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = side * factor
         for batch in batches:
             out: list[bytes | None] = [None] * batch.num_rows
-            fine = [k for k, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == side * side and None not in v and np.isfinite(v).all()]
-            for lo in range(0, len(fine), 512):
-                some = fine[lo : lo + 512]
-                x = np.array(batch.column(1).take(pa.array(some)).to_pylist(), np.float32).reshape(-1, side, side)
-                spread = np.maximum(x.std((1, 2), keepdims=True), 1e-9)
-                grey = np.clip(128 + 48 * (x - x.mean((1, 2), keepdims=True)) / spread, 0, 255)
-                big = np.clip(np.rint(resize(grey, size, size)), 0, 255).astype(np.uint8)
-                for k, p in zip(some, big):
-                    out[k] = p.tobytes()
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size] * n, pa.int32()), pa.array([size] * n, pa.int32()), pa.array(out, pa.binary())], ["media_id", "height", "width", "pixels"])
+            sizes = [0] * batch.num_rows
+            fine: dict[int, list[int]] = {}
+            values = batch.column(1).to_pylist()
+            for k, v in enumerate(values):
+                if v and None not in v and np.isfinite(v).all():
+                    fine.setdefault(len(v), []).append(k)
+            for dim, rows in fine.items():
+                side = int(np.ceil(np.sqrt(dim)))
+                for lo in range(0, len(rows), 512):
+                    some = rows[lo : lo + 512]
+                    x = np.array([values[k] for k in some], np.float32)
+                    x = np.concatenate([x, np.repeat(x.mean(1, keepdims=True), side * side - dim, 1)], 1).reshape(-1, side, side)
+                    spread = np.maximum(x.std((1, 2), keepdims=True), 1e-9)
+                    grey = np.clip(128 + 48 * (x - x.mean((1, 2), keepdims=True)) / spread, 0, 255)
+                    big = np.clip(np.rint(resize(grey, side * factor, side * factor)), 0, 255).astype(np.uint8)
+                    for k, p in zip(some, big):
+                        out[k], sizes[k] = p.tobytes(), side * factor
+            size = pa.array(sizes, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, size, pa.array(out, pa.binary())], ["media_id", "height", "width", "pixels"])
 
     source = vectors.select(id_col, vector_col)
     return source.mapInArrow(run, f"media_id {source.schema[0].dataType.simpleString()}, height int, width int, pixels binary")

@@ -219,4 +219,7 @@ def test_pictures(spark):
     assert [(r.a, r.b) for r in local_descriptors.copies(df).collect()] == [(1, 2)]
     assert local_descriptors.copies(df.limit(0)).count() == 0
     bad = spark.createDataFrame([(1, None), (2, [1.0]), (3, [None] * 64), (4, [float(k) for k in range(64)])], "vec_id int, embedding array<double>")
-    assert sorted(r.media_id for r in local_descriptors.pictures(bad).where("pixels is not null").collect()) == [4]
+    assert sorted((r.media_id, r.height) for r in local_descriptors.pictures(bad).where("pixels is not null").collect()) == [(2, 6), (4, 48)]
+    odd = spark.createDataFrame([(k, rng.normal(size=100 if k < 4 else 90).tolist()) for k in range(8)], "vec_id int, embedding array<double>")
+    drawn = local_descriptors.pictures(odd.unionByName(odd.select((odd.vec_id + 10).alias("vec_id"), "embedding")))
+    assert sorted((r.a, r.b) for r in local_descriptors.copies(drawn).collect()) == [(k, k + 10) for k in range(8)]
