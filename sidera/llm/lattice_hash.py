@@ -92,7 +92,9 @@ def unit(lists: pa.Array) -> tuple[np.ndarray, int]:
     return x / np.linalg.norm(x, axis=1, keepdims=True), dim
 
 
-def _spread(tables: int, blocks: int, probes: int, scale: float):
+def _spread(tables: int, blocks: int, probes: int, scale: float, name: str):
+    """(id by that name, cell) of the own cells of vectors and of so many of their neighbours."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
@@ -104,7 +106,7 @@ def _spread(tables: int, blocks: int, probes: int, scale: float):
                     for t in range(tables):
                         keys = cells(x, t, blocks, probes, scale)
                         n, w = keys.shape
-                        yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(np.repeat(np.arange(n), w))), pa.array(keys.ravel()), pa.array(np.tile(np.arange(w) == 0, n))], ["id", "cell", "home"])
+                        yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(np.repeat(np.arange(n), w))), pa.array(keys.ravel())], [name, "cell"])
 
     return run
 
@@ -124,17 +126,19 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(a, b, cosine) of the pairs found whose cosine is at least the threshold."""
     v = F.col("v")
+    if vectors.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        vectors = vectors.withColumn(vector_col, F.col(vector_col).cast("array<double>"))
     fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
+    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
     source = durable(source.groupBy("id").agg(F.min("v").alias("v")))
     kind = source.schema["id"].dataType.simpleString()
     # equal vectors: the least id stands for all of them
-    by = source.select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("same"))
+    by = source.select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("double").cast("string")), ","), 256).alias("same"))
     reps = durable(by.groupBy("same").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"), F.count("*").alias("n")))
     alone = source.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    keyed = durable(alone.mapInArrow(_spread(tables, blocks, probes, scale), f"id {kind}, cell bigint, home boolean"))
-    homes = keyed.where("home").select("cell", F.col("id").alias("a"))
-    asked = keyed.select("cell", F.col("id").alias("b"))
+    # own cells are made apart from the asked ones: it costs less than to write all of them for two readers
+    homes = alone.mapInArrow(_spread(tables, blocks, 0, scale, "a"), f"a {kind}, cell bigint")
+    asked = alone.mapInArrow(_spread(tables, blocks, probes, scale, "b"), f"b {kind}, cell bigint")
     met = homes.join(asked, "cell").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (alone.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
     close = met.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_cosines, f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= threshold)
