@@ -1,23 +1,24 @@
 """Operator 3: substring dedup by level-wise doubling.
 
-Words are runs of word characters, lower-cased. A window is repeated if the same words occur in two documents. Windows
-repeated at one length alone are extended to twice that length, until no candidates survive:
+Words are runs of word characters, lower-cased. A window is repeated if the same words occur at two places, in two
+documents or in one. Windows repeated at one length alone are extended to twice that length, until no candidates survive:
 
 * Level BASE (25 words): of the windows only those that have the least hash among BASE + 1 successive ones are sent.
-  Two equal passages choose equal windows, so any passage of 2 * BASE words shared by two documents holds a chosen
+  Two equal passages choose equal windows, so any passage of 2 * BASE words that occurs twice holds a chosen
   repeated one; nothing is lost.
 * Level 2 * BASE (50 words): every window that holds a repeated one of the base level is hashed and sent. What repeats
-  here is exact: all windows of 50 words that occur in two documents.
+  here is exact: all windows of 50 words that occur twice, told apart by whether they do in two documents or in one.
 * Levels 4 * BASE and on: windows of L words, of which again only the least of L + 1 successive ones go, and of these
   only such as hold a window that survived at L / 2. The longest level at which a document has a survivor says how
-  long its repeats are: any shared passage of 2 * L words is seen at L.
+  long its repeats are: any passage of 2 * L words that occurs twice is seen at L.
 
-Hashes travel packed by bucket, ten to sixteen bytes a window, and are grouped by a sort of each bucket in NumPy. Texts are
+Hashes travel packed by bucket, ten to sixteen bytes a window, and are grouped by a sort of each bucket in NumPy; the
+number of buckets follows from the size of the texts, so a bucket's size doesn't grow with the table. Texts are
 read for the base level and once more, after one shuffle to the ids of documents that have repeats, for all later ones.
 
 Cases: documents without a repeat, with fewer than 2 * BASE words, with a null or empty text, or a null id give no row;
-rows that repeat an id are one document, so a document alone is never its own copy; a passage that occurs twice in one
-document only is not a repeat. Texts are whole. Other columns are ignored.
+rows that repeat an id and a text are one document, so a document alone is never its own copy. Ids may be of any type:
+others than whole numbers go by a 64-bit hash and come back by a join. Texts are whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidera.llm.common import WORD, durable, hashed, mix64, steps
@@ -34,6 +35,8 @@ from sidera.llm.common import WORD, durable, hashed, mix64, steps
 BASE = 25
 #: Windows that a task gathers before it packs them, some 20 bytes each.
 HELD = 400_000
+#: Bytes of text whose windows share a bucket.
+BUCKET_BYTES = 64 << 20
 _B = 0xD6E8FEB86659FD93  # odd, hence invertible
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -130,15 +133,29 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole("h", np.uint64), np.repeat(whole("docs", np.int64), whole("counts", np.uint32)), whole("pos", np.uint32)
 
 
-def repeated(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Entries whose hash occurs in two documents at least."""
+def repeated(h: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries whose hash occurs at two places at least, whether in two documents, whether twice in their own)."""
     order = np.argsort(h, kind="stable")
-    hs, ds = h[order], docs[order]
+    hs = h[order]
+    twice = np.zeros(len(hs), bool)
+    twice[1:] |= hs[1:] == hs[:-1]
+    twice[:-1] |= hs[1:] == hs[:-1]
+    order = order[twice]
+    order = order[np.lexsort((pos[order], docs[order], h[order]))]
+    hs, ds, ps = h[order], docs[order], pos[order]
     if not len(hs):
-        return order
+        return order, twice[:0], twice[:0]
+    same = (hs[1:] == hs[:-1]) & (ds[1:] == ds[:-1])
+    new = np.append(True, ~(same & (ps[1:] == ps[:-1])))  # a row that is there twice counts once
+    order, hs, ds = order[new], hs[new], ds[new]
     heads = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-    two = np.maximum.reduceat(ds, heads) != np.minimum.reduceat(ds, heads)
-    return np.sort(order[np.repeat(two, np.diff(np.append(heads, len(hs))))])
+    size = np.diff(np.append(heads, len(hs)))
+    across = np.repeat(np.maximum.reduceat(ds, heads) != np.minimum.reduceat(ds, heads), size)
+    heads = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])))
+    size = np.diff(np.append(heads, len(hs)))
+    own = np.repeat(size > 1, size)
+    ok = across | own
+    return order[ok], across[ok], own[ok]
 
 
 def by_document(docs: np.ndarray, payload: np.ndarray) -> pa.Table:
@@ -227,28 +244,32 @@ def later_levels(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _marks(table: pa.Table) -> pa.Table:
-    h, docs, _ = unpack(table)
-    keep = repeated(h, docs)
+    h, docs, pos = unpack(table)
+    keep, _, _ = repeated(h, docs, pos)
     return by_document(docs[keep], h[keep])
 
 
 def _places(table: pa.Table) -> pa.Table:
+    """(id, positions, own): those repeated in other documents, and apart those repeated in their own."""
     h, docs, pos = unpack(table)
-    keep = repeated(h, docs)
-    return by_document(docs[keep], pos[keep])
+    keep, across, own = repeated(h, docs, pos)
+    parts = [by_document(docs[keep[x]], pos[keep[x]]) for x in (across, own)]
+    return pa.concat_tables([p.append_column("own", pa.array([k == 1] * p.num_rows, pa.bool_())) for k, p in enumerate(parts)])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, runs): a document's repeated starts as runs of successive positions."""
+    """(id, across, own, any): a document's repeated starts of each kind as runs of successive positions."""
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def runs(parts: list[bytes]) -> list[dict]:
+        p = np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(p) > 1)
+        lo, hi = (p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)]) if len(p) else (p, p)
+        return [{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)]
+
     for batch in batches:
-        runs = []
-        for parts in batch.column("parts").to_pylist():
-            p = np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(p) > 1)
-            lo, hi = p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)]
-            runs.append([{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(runs, kind)], ["id", "runs"])
+        rows = [(runs(x), runs(y), runs(x + y)) for x, y in zip(batch.column("across").to_pylist(), batch.column("own").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kind) for k in range(3))], ["id", "across", "own", "runs"])
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,37 +290,54 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([np.concatenate(ids), np.concatenate(ps), np.concatenate(hs)], ["id", "pos", "h"])
 
 
+def _joined(runs: str) -> Column:
+    """Runs of starts whose windows touch as one span of words."""
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def add(acc: Column, r: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last.getField("start").alias("start"), (r.hi + 2 * BASE).alias("stop"))))
+        return F.when((F.size(acc) > 0) & (last.getField("stop") >= r.lo), longer).otherwise(F.concat(acc, F.array(F.struct(r.lo.alias("start"), (r.hi + 2 * BASE).alias("stop")))))
+
+    return F.aggregate(runs, empty, add)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array<struct<start,stop>>, repeated_words, longest_level) of each document that has a repeated passage.
+    """(id, spans, own_spans array<struct<start,stop>>, repeated_words, longest_level) of each document that has a repeated passage.
 
-    spans: the words, counted from 0, that lie in a window of 2 * BASE words which occurs in another document.
+    spans: the words, counted from 0, that lie in a window of 2 * BASE words which occurs in another document; repeated_words
+    is their number. own_spans: those in a window that occurs twice in this document.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("__text"))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.col(id_col).cast("bigint") if whole else F.xxhash64(id_col)
+    source = docs.where(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("__text"))
+    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     marks = base_level(source, buckets).groupBy("bucket").applyInArrow(_marks, "id bigint, part binary")
     marks = marks.groupBy("id").agg(F.collect_list("part").alias("marks"))
     levels = durable(later_levels(source.join(marks, "id"), buckets))
-    places = levels.where("bucket is not null").select(*"bucket docs counts pos h".split()).groupBy("bucket").applyInArrow(_places, "id bigint, part binary")
-    runs = durable(places.groupBy("id").agg(F.collect_list("part").alias("parts")).mapInArrow(_runs, "id bigint, runs array<struct<lo:int,hi:int>>"))
+    places = levels.where("bucket is not null").select(*"bucket docs counts pos h".split()).groupBy("bucket").applyInArrow(_places, "id bigint, part binary, own boolean")
+    parts = places.groupBy("id").agg(*(F.collect_list(F.when(F.col("own") == own, F.col("part"))).alias(name) for name, own in (("across", False), ("own", True))))
+    kind = "array<struct<lo:int,hi:int>>"
+    runs = durable(parts.mapInArrow(_runs, f"id bigint, across {kind}, own {kind}, runs {kind}"))
     alive, level, longest = runs.select("id", F.col("runs").alias("alive")), 4 * BASE, runs.select("id", F.lit(2 * BASE).alias("level"))
     while True:
         candidates = levels.where((F.col("level") == level) & F.col("bucket").isNull()).select("id", "level", "pos", "h").join(alive, "id")
         opened = candidates.mapInArrow(_open, "id bigint, pos int, h bigint")
-        two = opened.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h")
+        place = F.struct("id", "pos")
+        two = opened.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
         left = durable(opened.join(two, "h", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("p")))
         if left.isEmpty():
             break
         alive = left.select("id", F.transform("p", lambda x: F.struct(x.alias("lo"), x.alias("hi"))).alias("alive"))
         longest = longest.unionByName(left.select("id", F.lit(level).alias("level")))
         level *= 2
-    joined = F.aggregate(  # runs whose windows touch are one span
-        "runs",
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1).getField("stop") >= r.lo),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1).getField("start").alias("start"), (r.hi + 2 * BASE).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(r.lo.alias("start"), (r.hi + 2 * BASE).alias("stop"))))),
-    )
-    out = runs.select("id", joined.alias("spans")).join(longest.groupBy("id").agg(F.max("level").alias("longest_level")), "id")
-    return out.select(F.col("id").alias(id_col), "spans", F.aggregate("spans", F.lit(0), lambda s, x: s + x.stop - x.start).alias("repeated_words"), "longest_level")
+    spans = runs.select("id", _joined("across").alias("spans"), _joined("own").alias("own_spans"))
+    out = spans.join(longest.groupBy("id").agg(F.max("level").alias("longest_level")), "id")
+    out = out.withColumn("repeated_words", F.aggregate("spans", F.lit(0), lambda s, x: s + x.stop - x.start))
+    if whole:
+        out = out.withColumn(id_col, F.col("id").cast(docs.schema[id_col].dataType))
+    else:
+        out = out.join(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), key.alias("id")).distinct(), "id")
+    return out.select(id_col, "spans", "own_spans", "repeated_words", "longest_level")

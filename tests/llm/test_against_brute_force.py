@@ -1,9 +1,9 @@
 """Every operator against SQL, a brute-force version, an exact round trip or held-out labels."""
 
 import collections
-import os
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -18,19 +18,22 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").orderBy("doc_id").toPandas()
 
 
-#: The small tables have no near vectors.
-NEAR = "/root/testdata/check_s"
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), by_sql(queries.ORACLES[name], SF)
     assert rows(got) == rows(want) and (len(got) or name == "op2_embedding_near_dedup")
 
 
-@pytest.mark.skipif(not os.path.isdir(NEAR), reason="the larger tables are not here")
-def test_near_vectors_by_sql(spark):
-    got, want = queries.QUERIES["op2_embedding_near_dedup"](spark, NEAR).toPandas(), by_sql(queries.ORACLES["op2_embedding_near_dedup"], NEAR)
+def test_near_vectors_by_sql(spark, tmp_path):
+    """The query against its SQL over vectors that have near copies, equal ones and groups, as the small tables have none."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 64)).astype(np.float32)
+    near = x[:400] + 0.02 * rng.standard_normal((400, 64)).astype(np.float32)
+    group = x[:1] + 0.02 * rng.standard_normal((40, 64)).astype(np.float32)
+    v = np.concatenate([x, near, x[:100], group])
+    spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["op2_embedding_near_dedup"](spark, str(tmp_path)).toPandas()
+    want = duckdb.connect().sql(queries.ORACLES["op2_embedding_near_dedup"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet'")).df()
     assert rows(got) == rows(want) and len(got) > 1000
 
 
@@ -131,18 +134,22 @@ def test_repeated_passages(spark, docs):
     got = {r.doc_id: r for r in substring_dedup.repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     words = {i: re.findall(r"\w+", t.lower()) for i, t in zip(docs.doc_id, docs.text)}
     for length in (50, 100, 200, 400, 800):
-        seen = collections.defaultdict(set)
+        seen = collections.defaultdict(collections.Counter)
         for i, w in words.items():
             for p in range(len(w) - length + 1):
-                seen[hash(tuple(w[p : p + length]))].add(i)
-        cover = collections.defaultdict(set)
+                seen[hash(tuple(w[p : p + length]))][i] += 1
+        cover, across, own = (collections.defaultdict(set) for _ in range(3))
         for i, w in words.items():
             for p in range(len(w) - length + 1):
-                if len(seen[hash(tuple(w[p : p + length]))]) > 1:
-                    cover[i] |= set(range(p, p + length))
+                holders, span = seen[hash(tuple(w[p : p + length]))], range(p, p + length)
+                for to, said in ((across, len(holders) > 1), (own, holders[i] > 1), (cover, len(holders) > 1 or holders[i] > 1)):
+                    if said:
+                        to[i] |= set(span)
         if length == 50:
-            assert {i: {x for s in r.spans for x in range(s.start, s.stop)} for i, r in got.items()} == cover
-        else:  # all documents with a shared passage of 2 * L are seen at L; none is seen without one of L
+            assert set(got) == set(cover) and across and own
+            for name, want in (("spans", across), ("own_spans", own)):
+                assert {i: {x for s in r[name] for x in range(s.start, s.stop)} for i, r in got.items() if r[name]} == want
+        else:  # all documents with a passage of 2 * L that occurs twice are seen at L; none is seen without one of L
             assert {i for i, r in got.items() if r.longest_level >= length} <= set(cover)
             assert set(cover) <= {i for i, r in got.items() if r.longest_level >= length // 2}
 

@@ -97,9 +97,12 @@ def test_minhash(docs, none):
 
 def test_substring(docs, none):
     rows = {r.doc_id: r for r in substring_dedup.repeats(docs).collect()}
-    assert set(rows) == {1, 2, 3}
+    assert set(rows) == {1, 2, 3, 6}  # the long text comes round again within itself
     assert [tuple(s) for s in rows[2].spans] == [(3, 73)] and rows[2].repeated_words == 70 and rows[2].longest_level == 50
+    assert not rows[6].spans and rows[6].own_spans and not rows[2].own_spans and rows[6].repeated_words == 0
     assert substring_dedup.repeats(none).count() == 0
+    named = substring_dedup.repeats(docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
+    assert {r.doc_id: (r.spans, r.own_spans, r.longest_level) for r in named.collect()} == {f"d{k}": (r.spans, r.own_spans, r.longest_level) for k, r in rows.items()}
 
 
 def test_secrets(spark, docs, none):
