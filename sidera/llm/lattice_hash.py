@@ -68,16 +68,17 @@ def projection(dim: int, table: int, blocks: int, seed: int = 5) -> np.ndarray:
 
 
 def cells(x: np.ndarray, table: int, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """vectors x (1 + probes) keys of unit vectors: their own cell, then the neighbouring cells from the nearest on."""
+    """vectors x (1 + probes) keys of unit vectors: their own cell, then the nearest of the neighbouring cells."""
     y = (x @ projection(x.shape[1], table, blocks)) * (scale / np.sqrt(8.0))
     points = np.stack([nearest(y[:, 8 * k : 8 * k + 8]) for k in range(blocks)], 1)
-    rest = y.reshape(len(y), blocks, 8) - points
-    gain = (rest @ roots().T).reshape(len(y), -1)
-    probes = min(probes, gain.shape[1])
-    best = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+    probes = min(probes, blocks * len(roots()))
     where = np.repeat(points[:, None], 1 + probes, 1)
-    rows = np.repeat(np.arange(len(y)), probes)
-    where[rows, np.tile(np.arange(1, probes + 1), len(y)), best.ravel() // 240] += roots()[best.ravel() % 240]
+    if probes:
+        rest = y.reshape(len(y), blocks, 8) - points
+        gain = (rest @ roots().T).reshape(len(y), -1)
+        best = np.argpartition(-gain, probes - 1, axis=1)[:, :probes]  # in no order: all of them are asked
+        rows = np.repeat(np.arange(len(y)), probes)
+        where[rows, np.tile(np.arange(1, probes + 1), len(y)), best.ravel() // 240] += roots()[best.ravel() % 240]
     code = np.rint(where.reshape(len(y), 1 + probes, -1) * 2).astype(np.int64).astype(np.uint64)
     key = np.full(code.shape[:2], mix64(np.array([table + 1 + 1000 * x.shape[1]], np.uint64) * GOLD)[0])
     for k in range(code.shape[2]):
