@@ -143,6 +143,29 @@ def consensus(m: np.ndarray) -> tuple[int, float, float]:
     return best
 
 
+def consensus_of_many(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """consensus() of groups of equally many matches (groups, matches, 8): (agreeing, scale, rotation, distinct matches) of each."""
+    groups, n = m.shape[:2]
+    ratio, turn = m[..., 2] / m[..., 6], m[..., 7] - m[..., 3]
+    cos, sin = np.cos(turn) * ratio, np.sin(turn) * ratio
+    dx, dy = m[:, None, :, 0] - m[:, :, None, 0], m[:, None, :, 1] - m[:, :, None, 1]
+    c, s = cos[..., None], sin[..., None]
+    off = np.hypot(m[:, :, None, 4] + c * dx - s * dy - m[:, None, :, 4], m[:, :, None, 5] + s * dx + c * dy - m[:, None, :, 5])
+    bend = np.abs((turn[:, None] - turn[..., None] + np.pi) % (2 * np.pi) - np.pi)
+    ok = (off <= NEAR * np.maximum(1.0, ratio[..., None])) & (bend < 0.5) & (np.abs(np.log2(ratio[:, None] / ratio[..., None])) < 0.6)
+    before, at = np.triu(np.ones((n, n), bool), 1), ok.astype(np.float32)
+
+    def distinct(same: np.ndarray) -> np.ndarray:  # of those that agree with each match, such as none before equals
+        return (ok & (at @ (same & before).astype(np.float32) == 0)).sum(2)
+
+    cells = np.rint(m[..., [0, 1, 4, 5]] / 4)
+    places = np.minimum(*(distinct((cells[:, :, None, k : k + 2] == cells[:, None, :, k : k + 2]).all(3)) for k in (0, 2)))
+    top = places.argmax(1)
+    row = np.arange(groups)
+    twice = ((m[:, :, None] == m[:, None]).all(3) & before).any(1).sum(1)
+    return places[row, top], ratio[row, top], turn[row, top], n - twice
+
+
 #: Where a corner lies and how, in 1/64 of a dot and in steps of scale and angle.
 PLACE = np.dtype([("x", "<u4"), ("y", "<u4"), ("s", "u1"), ("t", "u1")])
 #: Entries that a task gathers before it packs them.
@@ -286,11 +309,22 @@ def _agree(least: int):
         heads = np.flatnonzero(np.append(True, (rows.a[1:] != rows.a[:-1]) | (rows.b[1:] != rows.b[:-1]))) if len(rows) else np.zeros(0, np.int64)
         size = np.diff(np.append(heads, len(rows)))
         out: list[tuple] = []
-        for h, n in zip(heads[size >= least].tolist(), size[size >= least].tolist()):
-            m = np.unique(np.concatenate([_geometry(rows.pa[h : h + n]), _geometry(rows.pb[h : h + n])], 1), axis=0)
-            agreeing, scale, turn = consensus(m)
-            if agreeing >= least:
-                out.append((int(rows.a[h]), int(rows.b[h]), len(m), agreeing, scale, float(np.degrees(turn))))
+        for n in np.unique(size[size >= least]).tolist():
+            at = heads[size == n]
+            step = max(1, 1_000_000 // (n * n))
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step]
+                which = some[:, None] + np.arange(n)
+                if n <= 256:
+                    m = np.concatenate([_geometry(rows.pa[which.ravel()]), _geometry(rows.pb[which.ravel()])], 1).reshape(len(some), n, 8)
+                    agreeing, scale, turn, distinct = consensus_of_many(m)
+                    for k in np.flatnonzero(agreeing >= least).tolist():
+                        out.append((int(rows.a[some[k]]), int(rows.b[some[k]]), int(distinct[k]), int(agreeing[k]), float(scale[k]), float(np.degrees(turn[k]))))
+                else:  # one at a time, in pieces
+                    m = np.unique(np.concatenate([_geometry(rows.pa[which[0]]), _geometry(rows.pb[which[0]])], 1), axis=0)
+                    one, ratio, turned = consensus(m)
+                    if one >= least:
+                        out.append((int(rows.a[some[0]]), int(rows.b[some[0]]), len(m), one, ratio, float(np.degrees(turned))))
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(KINDS.items())})
 
     return solve

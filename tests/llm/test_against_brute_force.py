@@ -312,6 +312,17 @@ def test_pictures_against_all_pairs(spark):
             assert ((a, b) in got) == (agreement(found[a], found[b]) >= local_descriptors.LEAST)
 
 
+def test_consensus_of_many_pairs_at_once():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 9, 30):
+        m = np.concatenate([rng.integers(0, 40, (60, n, 2)), rng.choice([1.0, 0.6], (60, n, 1)), rng.uniform(0, 6, (60, n, 1))] * 2, 2)
+        m[:30, :, 4:6], m[:30, :, 6:] = m[:30, :, :2] + 3, m[:30, :, 2:4]
+        m[:, n // 2] = m[:, 0]
+        many = local_descriptors.consensus_of_many(m)
+        one = [local_descriptors.consensus(np.unique(x, axis=0)) for x in m]
+        assert many[0].tolist() == [x[0] for x in one] and many[3].tolist() == [len(np.unique(x, axis=0)) for x in m]
+
+
 def test_recall_against_all_descriptor_pairs(spark):
     """Pictures drawn from vectors, with noisy vectors, crops, a covered side, noise and a turn, against a brute force that
     compares every two descriptors whether they share a table or not."""
