@@ -32,17 +32,18 @@ def fill_nulls(items: DataFrame) -> DataFrame:
     return items.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {"rating_number": F.coalesce("rating_number", F.lit(0))})
 
 
-def plain_number(c: Column, digits: int = 2) -> Column:
-    """A number as text without an exponent, '' for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("")) if digits else F.coalesce(c.cast("string"), F.lit(""))
+def plain_number(c: Column) -> Column:
+    """A number as text in its shortest form, without an exponent up to 2^53; '' for null."""
+    whole = F.format_string("%.0f", c.cast("double"))
+    return F.coalesce(F.when((F.abs(c) >= 1e7) & (F.abs(c) < 2.0**53) & (c == F.floor(c)), whole).otherwise(c.cast("string")), F.lit(""))
 
 
 def item_context() -> Column:
     """The item's fields under their names, in one text."""
     named = (("Product: ", "title"), ("\n\nDescription: ", "description_text"), ("\n\nFeatures: ", "features_text"), ("\n\nCategory: ", "main_category"), ("\n\nStore: ", "store"))
     parts = [x for label, c in named for x in (F.lit(label), F.col(c))]
-    numbers = [F.lit("\n\nAverage rating: "), F.when(F.col("average_rating").isNull(), "").otherwise(plain_number(F.col("average_rating"), 1)), F.lit(", Rating count: "), F.col("rating_number").cast("string")]
-    price = [F.lit("\n\nPrice: "), F.when(F.col("price").isNull(), "").otherwise(plain_number(F.col("price"))), F.lit("\n\nCategories: "), F.col("categories_text")]
+    numbers = [F.lit("\n\nAverage rating: "), plain_number(F.col("average_rating")), F.lit(", Rating count: "), F.col("rating_number").cast("string")]
+    price = [F.lit("\n\nPrice: "), plain_number(F.col("price")), F.lit("\n\nCategories: "), F.col("categories_text")]
     return F.concat(*parts, *numbers, *price)
 
 
@@ -92,3 +93,27 @@ def clean_context(df: DataFrame) -> Column:
     """What a cleaning step is asked about: the labelled fields that aren't empty."""
     named = (("Title", "title"), ("Description", "description_text"), ("Features", "features_text"), ("Category", "categories_text"))
     return X.labelled([(label, F.col(c)) for label, c in named if c in df.columns])
+
+
+def features_or_original(df: DataFrame) -> DataFrame:
+    """features_text, or where it is null the original's, if df has such."""
+    if "original_features_text" not in df.columns:
+        return df
+    return df.withColumn("features_text", F.coalesce("features_text", "original_features_text"))
+
+
+def enriched_context(df: DataFrame) -> Column:
+    """The item's fields with what was extracted from them, each under its name on a line; N/A for what is missing."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if c in df.columns else F.lit("N/A")
+    material = "material_or_active"
+    listed = material in df.columns and df.schema[material].dataType.typeName() == "array"
+    category = F.coalesce("categories_text", "main_category", F.lit(""))
+    texts = {"Title": F.coalesce("title", F.lit("")), "Description": F.coalesce("description_text", F.lit("")), "Category": category, "Features": F.coalesce("features_text", F.lit(""))}
+    extracted = {"Pet Species": known("pet_species"), "Product Type": known("product_type"), "Life Stage": known("life_stage"), "Primary Use Case": known("primary_use_case")}
+    rows = texts | extracted | {"Material/Active": X.list_to_csv(F.col(material)) if listed else known(material)}
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{name}: "), c) for name, c in rows.items()))
+
+
+def lenient(c: Column, kind: str) -> Column:
+    """A cast by which what can't be read is null."""
+    return c.try_cast(kind)

@@ -165,11 +165,24 @@ def intent_match(preds: DataFrame, questions: Column, dominant: DataFrame, inten
     return joined.agg(F.count("*").alias("n"), F.count_if(F.col("want") == F.col("intent")).alias("matched"), F.round(F.avg((F.col("want") == F.col("intent")).cast("double")), 6).alias("rate"))
 
 
-def multi_gold(preds: DataFrame) -> DataFrame:
-    """(task, n, any_hit10, recall10) of rows with several golds: (task, sample_id, golds, beams) of tokens."""
-    both = F.size(F.array_intersect("golds", F.slice("beams", 1, 10)))
-    rows = preds.select("task", (both > 0).cast("double").alias("a"), (both / F.greatest(F.size(F.array_distinct("golds")), F.lit(1))).alias("r"))
-    return rows.groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("any_hit10"), F.round(F.avg("r"), 6).alias("recall10"))
+def multi_gold(preds: DataFrame, k: int = 10) -> DataFrame:
+    """(task, n, hit1, hit5, hit10, mrr10, coverage10) of rows with several golds: (task, sample_id, golds, beams) of tokens.
+
+    A hit is any gold among the first beams; coverage is the share of the golds among the first k. Rows without golds count as misses.
+    """
+    golds, beams = F.array_distinct(F.coalesce("golds", F.array().cast("array<string>"))), F.slice("beams", 1, k)
+    hit = F.transform(beams, lambda x, i: F.when(F.coalesce(F.array_contains(golds, x), F.lit(False)), i + 1))
+    rows = preds.select("task", F.array_min(hit).alias("r"), F.coalesce(F.size(F.array_intersect(golds, beams)) / F.nullif(F.size(golds), F.lit(0)), F.lit(0.0)).alias("c"))
+    at = lambda n: F.round(F.avg((F.coalesce("r", F.lit(k + 1)) <= n).cast("double")), 6).alias(f"hit{n}")
+    return rows.groupBy("task").agg(F.count("*").alias("n"), *map(at, (1, 5, 10)), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr10"), F.round(F.avg("c"), 6).alias("coverage10"))
+
+
+def multi_gold_greedy(preds: DataFrame) -> DataFrame:
+    """(task, n, valid_format, level_a, level_ab, level_abc, exact_match) of a first prediction `pred` against the nearest of several golds (structs)."""
+    best = F.when(F.col("pred").isNotNull() & (F.size("golds") > 0), F.array_max(F.transform("golds", lambda g: depth(F.col("pred"), g))))
+    rows = preds.select("task", best.alias("d"))
+    share = lambda n, name: F.round(F.avg((F.coalesce("d", F.lit(-1)) >= n).cast("double")), 6).alias(name)
+    return rows.groupBy("task").agg(F.count("*").alias("n"), *(share(n, name) for n, name in enumerate(("valid_format", "level_a", "level_ab", "level_abc", "exact_match"))))
 
 
 def examples(preds: DataFrame, most: int = 6) -> DataFrame:

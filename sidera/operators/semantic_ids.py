@@ -16,7 +16,7 @@ LOOSE = r"<\|sid_start\|>(?:" + rf"<\|[{LEVELS}]\d+\|>" + r")+<\|sid_end\|>"
 
 def assign_d(df: DataFrame, key: str) -> DataFrame:
     """df with D: the place of a row among those of its (A, B, C), in the order of the key, from 0."""
-    return df.withColumn("D", (F.row_number().over(Window.partitionBy("A", "B", "C").orderBy(key)) - 1).cast("smallint"))
+    return df.withColumn("D", (F.row_number().over(Window.partitionBy("A", "B", "C").orderBy(key)) - 1).cast("int"))
 
 
 def token(*levels: Column) -> Column:
@@ -35,7 +35,7 @@ def from_list(df: DataFrame, col: str = "semantic_ids") -> DataFrame:
     if col not in df.columns:
         return df
     pick = {x: F.get(F.col(col), F.lit(k)).cast("smallint") for k, x in enumerate(LEVELS[:3])}
-    return df.withColumns(pick | {"D": F.coalesce(F.get(F.col(col), F.lit(3)), F.lit(0)).cast("smallint")})
+    return df.withColumns(pick | {"D": F.coalesce(F.get(F.col(col), F.lit(3)), F.lit(0)).cast("int")})
 
 
 def parse(c: Column, pattern: str = STRICT) -> Column:
@@ -101,3 +101,25 @@ def collisions(df: DataFrame) -> DataFrame:
     """(n_items, n_unique, collision_share, max_bucket) of the (A, B, C) buckets."""
     buckets = df.groupBy("A", "B", "C").agg(F.count("*").alias("n"))
     return buckets.agg(F.sum("n").cast("long").alias("n_items"), F.count("*").alias("n_unique"), F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("collision_share"), F.max("n").alias("max_bucket"))
+
+
+def decode(codes: Column, codebook: list[list[list[float]]]) -> Column:
+    """The vector of a list of codes: the sum of the codewords of its levels; null if a code is missing or out of range."""
+    parts = []
+    for level, words in enumerate(codebook):
+        table = F.array(*(F.array(*(F.lit(float(x)) for x in w)) for w in words))
+        code = F.get(codes, F.lit(level))
+        parts.append(F.when((code >= 0) & (code < len(words)), F.get(table, code)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = V.add(out, p)
+    return out
+
+
+def token_buckets(df: DataFrame, tokens: Column, levels: str = LEVELS, size: int = 256) -> DataFrame:
+    """(bucket, token, n): how often each token is in the texts of items whose code at a level is bucket % size; bucket = level * size + code.
+
+    Counts stand for the gathered lists, so no bucket is ever in one row; a code of `size` or more has no bucket.
+    """
+    rows = df.select(F.explode(F.array(*(F.struct((F.lit(k * size) + F.col(x)).cast("int").alias("bucket"), F.col(x).alias("code")) for k, x in enumerate(levels)))).alias("s"), tokens.alias("__t"))
+    return rows.where(F.col("s.code") < size).select("s.bucket", F.explode("__t").alias("token")).groupBy("bucket", "token").agg(F.count("*").alias("n"))

@@ -40,11 +40,11 @@ def to_sids(sequences: DataFrame, sids: DataFrame, item: str = "item_id", sid: s
     return back.withColumn("sid_sequence_length", F.size("sid_sequence").cast("long"))
 
 
-def split_exact(df: DataFrame, rank, key: list, frac: float, val_first: bool) -> DataFrame:
-    """df with `split`: exactly floor(n * frac) rows are 'val', the first or the last in the order of (rank, key).
+def split_exact(df: DataFrame, rank, key: list, frac: float, val_first: bool, position: str | None = None) -> DataFrame:
+    """df with `split` (and its place in the order from 0, by the name given): exactly floor(n * frac) rows are 'val', the first or the last in the order of (rank, key).
 
     Ranks are counted by ranges of the order, so no single task sorts all rows: rows are numbered within the buckets of
-    the rank's leading bits and offset by the sizes of the buckets before.
+    the rank's leading bits and offset by the sizes of the buckets before. The rank is a whole number from 0 to 2^31 - 1.
     """
     ranked = df.withColumn("__r", rank)
     n = ranked.agg(F.count("*").alias("__total"))
@@ -56,4 +56,5 @@ def split_exact(df: DataFrame, rank, key: list, frac: float, val_first: bool) ->
     at = F.col("__off") + F.col("__i")
     take = F.floor(F.col("__total") * frac)
     val = at <= take if val_first else at > F.col("__total") - take
+    placed = placed.withColumn(position, at - 1) if position else placed
     return placed.withColumn("split", F.when(val, "val").otherwise("train")).drop("__r", "__b", "__i", "__off", "__total")

@@ -18,12 +18,21 @@ def _blocks(df: DataFrame, key: str, col: str, name: str, count: int) -> DataFra
     return rows.groupBy(f"{name}b").agg(F.collect_list("id").alias(f"{name}ids"), F.flatten(F.collect_list("v")).alias(f"{name}v"))
 
 
+def usable(df: DataFrame, key: str, col: str, dim: int | None) -> DataFrame:
+    """Rows with a key and a vector of `dim` numbers, none of them null, NaN or infinite and not all zero."""
+    bad = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return df.where(F.col(key).isNotNull() & (F.size(col) == (dim or 0)) & ~bad & F.exists(col, lambda x: x != 0))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", col: str = "embedding", skip_self: bool = True, normalize: bool = True) -> DataFrame:
     """(query, neighbour, score, rank): the k of greatest product (cosine if normalized), ties to the lesser id.
 
     Every block of queries meets every block of the corpus once; a meeting returns k candidates a query, so what is
-    shuffled is k rows for each query and block, not the pairs.
+    shuffled is k rows for each query and block, not the pairs. Rows without a usable vector of the corpus's dimension
+    are neither query nor neighbour.
     """
+    dim = corpus.agg(F.max(F.size(col))).first()[0]
+    queries, corpus = (usable(df, key, col, dim) for df in (queries, corpus))
     n_q, n_c = (max(1, -(-df.count() // BLOCK)) for df in (queries, corpus))
     met = _blocks(queries, key, col, "q", n_q).crossJoin(_blocks(corpus, key, col, "c", n_c))
 
@@ -56,13 +65,23 @@ def overlap_at_k(a: DataFrame, b: DataFrame) -> DataFrame:
     return la.join(lb, "query").agg(F.count("*").alias("n"), F.round(F.avg(share), 6).alias("overlap"))
 
 
-def prefix_coincidence(neighbours: DataFrame, codes: DataFrame, levels: int, key: str = "vec_id") -> DataFrame:
-    """(length, n, share) of nearest neighbours whose codes agree in their first `length` levels."""
+def prefix_coincidence(neighbours: DataFrame, codes: DataFrame, levels: int, random_rank: Column, key: str = "vec_id", k: int = 10, lots: int = 256) -> DataFrame:
+    """(length, n, share, random_share): of pairs of a row and its k nearest neighbours, and of rows paired at random,
+    how many have codes that agree in their first `length` levels.
+
+    At random each row goes with the next k of its lot (of `lots`, by the key) in the order of a hash, so no task orders all.
+    """
     left = codes.select(F.col(key).alias("query"), F.col("codes").alias("cq"))
     right = codes.select(F.col(key).alias("neighbour"), F.col("codes").alias("cn"))
-    both = neighbours.where("rank = 1").select("query", "neighbour").join(left, "query").join(right, "neighbour")
+    near = neighbours.where(F.col("rank") <= k).select("query", "neighbour").join(left, "query").join(right, "neighbour").select("cq", "cn", F.lit(True).alias("near"))
+    lot = Window.partitionBy(F.pmod(F.col(key), F.lit(lots))).orderBy(random_rank, key)
+    ahead = codes.select(F.col("codes").alias("cq"), F.array(*(F.lead("codes", j).over(lot) for j in range(1, k + 1))).alias("next"))
+    ahead = ahead.select("cq", F.explode("next").alias("cn")).where("cn is not null")
+    both = near.unionByName(ahead.withColumn("near", F.lit(False)))
     marks = F.array(*(F.struct(F.lit(n).alias("length"), (F.slice("cq", 1, n) == F.slice("cn", 1, n)).cast("double").alias("s")) for n in range(1, levels + 1)))
-    return both.select(F.explode(marks).alias("m")).groupBy("m.length").agg(F.count("*").alias("n"), F.round(F.avg("m.s"), 6).alias("share"))
+    rows = both.select("near", F.explode(marks).alias("m")).groupBy("m.length")
+    share = lambda x, name: F.round(F.avg(F.when(F.col("near") == x, F.col("m.s"))), 6).alias(name)
+    return rows.agg(F.count_if("near").alias("n"), share(True, "share"), share(False, "random_share"))
 
 
 def matrix(df: DataFrame, key: str, col: str, most: int = 2048) -> np.ndarray:
@@ -114,15 +133,32 @@ def cka(df: DataFrame, a: str, b: str) -> float:
 
 def rsa(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """(pairs, pearson, spearman) of the cosine distances of all pairs of rows, in two vector columns."""
-    from sidera.functions.arrays import cosine
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    count = max(1, -(-rows.count() // BLOCK))
+    lot = rows.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("n"), F.struct(F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b")).alias("r"))
+    blocks = lot.groupBy("n").agg(*(F.flatten(F.collect_list(f"r.{c}")).alias(c) for c in "ab"), F.count("*").alias("size"))
+    left, right = (blocks.select(*(F.col(c).alias(f"{c}{k}") for c in ("n", "a", "b", "size"))) for k in "xy")
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(batch: pa.RecordBatch, name: str, i: int, size: int) -> np.ndarray:
+            v = batch.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(size, -1)
+            return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m, n, p, q = (batch.column(c)[i].as_py() for c in ("sizex", "sizey", "nx", "ny"))
+                pick = np.triu_indices(m, 1) if p == q else np.divmod(np.arange(m * n), n)
+                x, y = ((1 - unit(batch, f"{c}x", i, m) @ unit(batch, f"{c}y", i, n).T)[pick] for c in "ab")
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
-    x = df.select(F.col(key).alias("i"), F.col(a).alias("ai"), F.col(b).alias("bi"))
-    y = df.select(F.col(key).alias("j"), F.col(a).alias("aj"), F.col(b).alias("bj"))
-    d = x.join(y, F.col("i") < F.col("j")).select((1 - cosine(F.col("ai"), F.col("aj"))).alias("x"), (1 - cosine(F.col("bi"), F.col("bj"))).alias("y"))
+    d = left.join(right, F.col("nx") <= F.col("ny")).mapInArrow(far, "x double, y double")
     ranked = d
-    for c in ("x", "y"):  # average ranks by counting equal values
-        sizes = d.groupBy(F.round(c, 12).alias(f"v{c}")).agg(F.count("*").alias("c"))
-        rank = sizes.withColumn(f"r{c}", F.sum("c").over(Window.orderBy(f"v{c}")) - (F.col("c") - 1) / 2).drop("c")
+    for c in ("x", "y"):  # average ranks by counting equal values, lot by lot of the range that distances have
+        sizes = d.groupBy(F.round(c, 12).alias(f"v{c}")).agg(F.count("*").alias("c")).withColumn("lot", F.floor(F.col(f"v{c}") * 1000).cast("int"))
+        lots = sizes.groupBy("lot").agg(F.sum("c").alias("size"))  # 2001 at most
+        lots = lots.select("lot", (F.sum("size").over(Window.orderBy("lot")) - F.col("size")).alias("before"))
+        rank = sizes.withColumn("upto", F.sum("c").over(Window.partitionBy("lot").orderBy(f"v{c}"))).join(F.broadcast(lots), "lot")
+        rank = rank.select(f"v{c}", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2).alias(f"r{c}"))
         ranked = ranked.withColumn(f"v{c}", F.round(c, 12)).join(rank, f"v{c}")
     return ranked.agg(F.count("*").alias("pairs"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 

@@ -21,7 +21,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("item_id"),
         F.col("p_type").alias("main_category"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.coalesce(F.concat(F.lit(" "), F.substring("t", 1, 60)), F.lit(""))).alias("title"),
-        F.lit(None).cast("float").alias("average_rating"),
+        F.when(F.col("p_size") % 10 != 0, ((F.col("p_size") % 17 + 3) / 4).cast("float")).alias("average_rating"),
         F.col("p_size").alias("rating_number"),
         F.substring("t", 201, 300).alias("features_text"),
         F.col("t").alias("description_text"),
@@ -60,7 +60,7 @@ def sid_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task, sample_id, gold, beams): made of the orders' numbers; every 17th beam can't be parsed, every 50th gold is missing."""
     parts = table(spark, sf_dir, "part").agg(F.count("*").alias("np"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 5000").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(parts))  # one row
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(parts))  # one row
     k = F.col("o_orderkey")
     task = F.element_at(F.array(F.lit("seq_last_2"), F.lit("title_to_sid"), F.lit("copurchase_forward")), (k % 3 + 1).cast("int"))
     gold = (F.col("o_custkey") * 7 + k) % F.col("np")
@@ -78,18 +78,18 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 items as (select p_partkey, 'P' || p_partkey as item_id, p_type as main_category, p_name || ' ' || p_brand || coalesce(' ' || substr(t, 1, 60), '') as title,
-  p_size as rating_number, substr(t, 201, 300) as features_text, t as description_text, p_brand as store, p_retailprice as price, p_type || ' > ' || p_brand as categories_text,
+  case when p_size % 10 <> 0 then ((p_size % 17 + 3) / 4)::float end as average_rating, p_size as rating_number, substr(t, 201, 300) as features_text, t as description_text, p_brand as store, p_retailprice as price, p_type || ' > ' || p_brand as categories_text,
   (p_size % 16)::smallint as A, (p_partkey % 8)::smallint as B, ((p_partkey // 8) % 4)::smallint as C
   from part left join (select doc_id, replace(text, chr(10), ' ') as t from documents) d on d.doc_id = p_partkey),
 sids as (select *, '<|sid_start|><|A' || A || '|><|B' || B || '|><|C' || C || '|><|D' || D || '|><|sid_end|>' as sid from
-  (select *, (row_number() over (partition by A, B, C order by p_partkey) - 1)::smallint as D from items)),
+  (select *, (row_number() over (partition by A, B, C order by p_partkey) - 1)::int as D from items)),
 purchases as (select 'U' || o_custkey as user_id, 'P' || l_partkey as item_id, o_orderdate, l_orderkey, l_linenumber, l_partkey from lineitem join orders on l_orderkey = o_orderkey),
 raw_sequences as (select user_id, list(item_id order by o_orderdate, l_orderkey, l_linenumber, l_partkey) as sequence from purchases group by user_id),
 user_sequences as (select user_id, sequence[-100:] as sequence, len(sequence[-100:])::bigint as seq_len from raw_sequences where len(sequence) >= 5),
 numbered as (select user_id, unnest(sequence) as item_id, generate_subscripts(sequence, 1) as pos from user_sequences),
 sid_sequences as (select user_id, list(sid order by pos) as sid_sequence, count(*) as sid_sequence_length from numbered join sids using (item_id) group by user_id having count(*) >= 5),
 np as (select count(*) as np from part),
-asked as (select o_orderkey as sample_id, ['seq_last_2', 'title_to_sid', 'copurchase_forward'][o_orderkey % 3 + 1] as task, (o_custkey * 7 + o_orderkey) % np as g, np from orders, np where o_orderkey <= 5000),
+asked as (select o_orderkey as sample_id, ['seq_last_2', 'title_to_sid', 'copurchase_forward'][o_orderkey % 3 + 1] as task, (o_custkey * 7 + o_orderkey) % np as g, np from orders, np),
 beamed as (select task, sample_id, j, case when j = -1 or j = sample_id % 13 then g else (g + (j + 1) * (sample_id % 5 + 1) * 8) % np end as p_partkey from asked, (select unnest(range(-1, 10)) as j)),
 coded as (select task, sample_id, j, case when (j >= 0 and (sample_id + j) % 17 = 0) or (j = -1 and sample_id % 50 = 0) then null else {'A': A::varchar, 'B': B::varchar, 'C': C::varchar, 'D': D::varchar} end as s from beamed join sids using (p_partkey)),
 predictions as (select task, sample_id, max(s) filter (j = -1) as gold, list(s order by j) filter (j >= 0) as beams from coded group by task, sample_id),

@@ -32,9 +32,17 @@ def query(sql: str | None = None, views: bool = True, name: str | None = None) -
     return add
 
 
+def spread_sql(key: str, seed: int) -> str:
+    """A seeded arithmetic hash of a whole number, 0 to 2^31 - 2, that both engines read alike; no step leaves 64 bits.
+
+    The seed is in both factors of a product, so another seed gives another order, not the same one turned.
+    """
+    a = f"((((({key}) % 2147483647) + 2147483647) % 2147483647 * 48271 + {seed * 69621 % 2147483647}) % 2147483647)"
+    return f"(({a} % 65521 + {seed % 65521 + 1}) * (({a} * 16807 + {seed}) % 2147483647) % 2147483647)"
+
+
 def spread(key: str, seed: int) -> F.Column:
-    """A shared arithmetic hash of a whole number, the same in both engines."""
-    return (F.col(key) * 2654435761 + seed) % 2147483648
+    return F.expr(spread_sql(key, seed))
 
 
 # ---- sequences
@@ -63,15 +71,12 @@ def valid_events(spark, sf):
     return sequences.of_known(purchases(spark, sf), items(spark, sf).where("rating_number >= 20"), "item_id").select("user_id", "item_id", "o_orderdate", "l_orderkey", "l_linenumber", "l_partkey")
 
 
-_RANK = "(o_custkey * 2654435761 + {seed}) % 2147483648"
-
-
-@query(f"select c_custkey, case when row_number() over (order by (c_custkey * 2654435761 + 42) % 2147483648, c_custkey) > (select count(*) - floor(count(*) * 0.1) from customer) then 'val' else 'train' end as split from customer", views=False)
+@query(f"select c_custkey, case when row_number() over (order by {spread_sql('c_custkey', 42)}, c_custkey) > (select count(*) - floor(count(*) * 0.1) from customer) then 'val' else 'train' end as split from customer", views=False)
 def split_exact_tail(spark, sf):
     return sequences.split_exact(table(spark, sf, "customer").select("c_custkey"), spread("c_custkey", 42), ["c_custkey"], 0.1, False)
 
 
-@query("select c_custkey, case when row_number() over (order by (c_custkey * 2654435761 + 7) % 2147483648, c_custkey) <= (select floor(count(*) * 0.05) from customer) then 'val' else 'train' end as split from customer", views=False)
+@query(f"select c_custkey, case when row_number() over (order by {spread_sql('c_custkey', 7)}, c_custkey) <= (select floor(count(*) * 0.05) from customer) then 'val' else 'train' end as split from customer", views=False)
 def split_exact_head(spark, sf):
     return sequences.split_exact(table(spark, sf, "customer").select("c_custkey"), spread("c_custkey", 7), ["c_custkey"], 0.05, True)
 
@@ -88,7 +93,7 @@ def item_filter_valid(spark, sf):
 
 @query(
     """select item_id, 'Product: ' || coalesce(title, '') || E'\\n\\nDescription: ' || coalesce(description_text, '') || E'\\n\\nFeatures: ' || coalesce(features_text, '') || E'\\n\\nCategory: ' || coalesce(main_category, '')
-    || E'\\n\\nStore: ' || coalesce(store, '') || E'\\n\\nAverage rating: ' || ', Rating count: ' || coalesce(rating_number, 0) || E'\\n\\nPrice: ' || coalesce(format('{:.2f}', price), '') || E'\\n\\nCategories: ' || coalesce(categories_text, '') as item_context from items"""
+    || E'\\n\\nStore: ' || coalesce(store, '') || E'\\n\\nAverage rating: ' || coalesce(average_rating::varchar, '') || ', Rating count: ' || coalesce(rating_number, 0) || E'\\n\\nPrice: ' || coalesce(price::varchar, '') || E'\\n\\nCategories: ' || coalesce(categories_text, '') as item_context from items"""
 )
 def item_context(spark, sf):
     return I.fill_nulls(items(spark, sf)).select("item_id", I.item_context().alias("item_context"))
@@ -152,7 +157,7 @@ def merge_left_inner(spark, sf):
     return I.merge(base.select("item_id", "title"), cleaned, meta, key="item_id").select("item_id", "title", "clean_title", F.col("pet_species").alias("species"))
 
 
-@query("select p_partkey, p_type from (select *, count(*) over (partition by p_type) as n, row_number() over (partition by p_type order by (p_partkey * 2654435761 + 42) % 2147483648, p_partkey) as rn from part) where rn <= case when n * 0.35::double < 3 then 3 else floor(n * 0.35::double) end", views=False)
+@query(f"select p_partkey, p_type from (select *, count(*) over (partition by p_type) as n, row_number() over (partition by p_type order by {spread_sql('p_partkey', 42)}, p_partkey) as rn from part) where rn <= case when n * 0.35::double < 3 then 3 else floor(n * 0.35::double) end", views=False)
 def stratified_sample(spark, sf):
     return I.sample_by_category(table(spark, sf, "part").select("p_partkey", "p_type"), spread("p_partkey", 42), 0.35, 3, "p_type", "p_partkey")
 
@@ -208,10 +213,10 @@ _TOK = """list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(
 
 
 def _pairs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 120).alias("pred"), F.substring("text", 41, 160).alias("gold"))
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("pred"), F.expr("substring(text, 41)").alias("gold"))
 
 
-_PAIRS = "(select doc_id, substr(text, 1, 120) as pred, substr(text, 41, 160) as gold from documents)"
+_PAIRS = "(select doc_id, text as pred, substr(text, 41) as gold from documents)"
 
 
 @query(
@@ -368,7 +373,7 @@ def conversations_chat(spark, sf):
 
 
 @query(
-    f"""with s as (select *, row_number() over (order by (o_orderkey * 2654435761 + 42) % 2147483648, o_orderkey) <= (select floor(count(*) * 0.05) from orders) as v from {_SOME}),
+    f"""with s as (select *, row_number() over (order by {spread_sql('o_orderkey', 42)}, o_orderkey) <= (select floor(count(*) * 0.05) from orders) as v from {_SOME}),
     a as (select distinct type, instruction, output from s where v), b as (select distinct type, instruction, output, 1 as k from s where not v)
     select type, count(*) as n_val, count(k) as n_overlap, round(count(k) / count(*)::double, 6) as ratio from a left join b using (type, instruction, output) group by type""",
     views=False,
@@ -383,14 +388,14 @@ def token_stats(spark, sf):
     return S.token_stats(S.sid_to_title(sids(spark, sf)))
 
 
-@query("select col, count(*) as n, round(quantile_cont(len, 0.5), 6) as p50, round(quantile_cont(len, 0.9), 6) as p90, round(quantile_cont(len, 0.99), 6) as p99, count(*) filter (len > 512) as over from (select 'title' as col, length(coalesce(title, '')) as len from items union all select 'description_text', length(coalesce(description_text, '')) from items) group by col")
+@query("select col, count(*) as rows, max(len)::int as max_len, round(quantile_cont(len, 0.5), 6) as p50, round(quantile_cont(len, 0.9), 6) as p90, round(quantile_cont(len, 0.99), 6) as p99, count(*) filter (len > 1200) as over_1200, count(*) filter (len > 2000) as over_2000 from (select 'title' as col, length(coalesce(title, '')) as len from items union all select 'description_text', length(coalesce(description_text, '')) from items) group by col order by max_len desc, col")
 def length_report(spark, sf):
-    return S.length_report(items(spark, sf), ["title", "description_text"])
+    return S.length_report(items(spark, sf), ["title", "no_such_column", "description_text"])
 
 
-@query(f"select o_orderkey, type from (select *, row_number() over (partition by type order by (o_orderkey * 2654435761 + 42) % 2147483648, instruction, output) as rn from {_SOME}) where rn <= case when type = 'b' then 7 else 100 end", views=False)
+@query(f"select o_orderkey, type from (select *, row_number() over (partition by type order by {spread_sql('o_orderkey', 42)}, instruction, output) as rn from {_SOME}) where rn <= case when type = 'b' then 7 else 100 end", views=False)
 def per_task_sample(spark, sf):
-    return S.per_task(_some(spark, sf), spread("o_orderkey", 42), 100, {"b": 7}).select("o_orderkey", "type")
+    return S.per_task(_some(spark, sf), spread("o_orderkey", 42), 100, S.sample_sizes({"a": "sid_prediction", "b": "text_generation", "c": "other"}, 100, 7)).select("o_orderkey", "type")
 
 
 _P2 = "select sid_sequence[k] as sid_i, sid_sequence[k + o] as sid_j from (select sid_sequence, unnest(range(1, len(sid_sequence))) as k from sid_sequences), (select unnest([1, 2]) as o) where k + o <= len(sid_sequence)"
@@ -524,10 +529,25 @@ def intent_match(spark, sf):
     return ranking.intent_match(predictions(spark, sf), F.col("task"), dominant, _INTENTS)
 
 
-@query(f"select task, count(*) as n, round(avg((c > 0)::int), 6) as any_hit10, round(avg(c / k::double), 6) as recall10 from (select task, sample_id, len(list_intersect(g, b)) as c, len(list_distinct(g)) as k from (select task, sample_id, [any_value({_TG}), 'x'] as g, list({_TS} order by rk) as b from ranked where gold is not null group by all)) group by task")
+_GOLDS = f"(select task, sample_id, list_distinct([any_value({_TG}), any_value({_TS}) filter (rk = 7), 'x']) as g from ranked where gold is not null group by all)"
+
+
+@query(f"""select task, count(*) as n, round(avg((coalesce(r, 99) <= 1)::int), 6) as hit1, round(avg((coalesce(r, 99) <= 5)::int), 6) as hit5, round(avg((coalesce(r, 99) <= 10)::int), 6) as hit10, round(avg(coalesce(1.0 / r, 0)), 6) as mrr10, round(avg(c), 6) as coverage10
+    from (select task, sample_id, min(rk) filter (list_contains(g, t)) as r, count(distinct t) filter (list_contains(g, t)) / len(any_value(g))::double as c from (select task, sample_id, rk, {_TS} as t from ranked where gold is not null) join {_GOLDS} using (task, sample_id) group by all) group by task""")
 def multi_gold(spark, sf):
     p = predictions(spark, sf).where("gold is not null")
-    return ranking.multi_gold(p.select("task", "sample_id", F.array(ranking.as_token(F.col("gold")), F.lit("x")).alias("golds"), F.transform("beams", ranking.as_token).alias("beams")))
+    golds = F.array_compact(F.array(ranking.as_token(F.col("gold")), ranking.as_token(F.get("beams", F.lit(6))), F.lit("x")))
+    return ranking.multi_gold(p.select("task", "sample_id", golds.alias("golds"), F.transform("beams", ranking.as_token).alias("beams")))
+
+
+_NEAREST = " + ".join(f"(coalesce(s.A = {g}.A, false){''.join(f' and s.{x} = {g}.{x}' for x in up)})::int" for g in ("GOLD",) for up in ("", "B", "BC", "BCD"))
+
+
+@query(f"""select task, count(*) as n, round(avg((d is not null)::int), 6) as valid_format, round(avg((coalesce(d, -1) >= 1)::int), 6) as level_a, round(avg((coalesce(d, -1) >= 2)::int), 6) as level_ab, round(avg((coalesce(d, -1) >= 3)::int), 6) as level_abc, round(avg((coalesce(d, -1) >= 4)::int), 6) as exact_match
+    from (select task, case when s is not null then greatest({_NEAREST.replace("GOLD", "gold")}, coalesce({_NEAREST.replace("GOLD", "other")}, 0)) end as d from ranked join (select task as t3, sample_id as i3, s as other from ranked where rk = 7) on t3 = task and i3 = sample_id where rk = 1 and gold is not null) group by task""")
+def multi_gold_greedy(spark, sf):
+    p = predictions(spark, sf).where("gold is not null")
+    return ranking.multi_gold_greedy(p.select("task", F.get("beams", F.lit(0)).alias("pred"), F.array_compact(F.array("gold", F.get("beams", F.lit(6)))).alias("golds")))
 
 
 @query("select task, sample_id, correct from (select task, sample_id, correct, row_number() over (partition by task, correct order by sample_id) as rn from (select task, sample_id, coalesce(depth = 4, false) as correct from ranked where rk = 1)) where rn <= 3")
@@ -566,15 +586,15 @@ def bootstrap_ci(spark, sf):
 
 @query()
 def paired_bootstrap(spark, sf):
-    return statistics.paired_bootstrap(ranking.beam_metrics(predictions(spark, sf)), "task", "sample_id", "hit5", "hit10", times=2000)
+    return statistics.paired_bootstrap(ranking.beam_metrics(predictions(spark, sf)), "task", "sample_id", "hit5", "hit10")
 
 
 @query()
 def coverage_bootstrap(spark, sf):
-    p = predictions(spark, sf).where("sample_id <= 1000")
+    p = predictions(spark, sf)
     tokens = F.filter(F.transform("beams", ranking.as_token), lambda x: x.isNotNull())
     rows = p.select("task", "sample_id", F.slice(tokens, 1, 3).alias("a"), tokens.alias("b"))
-    return statistics.coverage_bootstrap(rows, "task", "sample_id", "a", "b", table(spark, sf, "part").count(), times=200)
+    return statistics.coverage_bootstrap(rows, "task", "sample_id", "a", "b", table(spark, sf, "part").count())
 
 
 # ---- vectors
@@ -632,14 +652,25 @@ def residual_codes(spark, sf):
 @query()
 def prefix_coincidence(spark, sf):
     v = _vectors(spark, sf)
-    return vectors.prefix_coincidence(vectors.knn(v, v, 1), semantic_ids.quantize(v, _codebook(spark, sf), "vec_id", "embedding"), 3)
+    return vectors.prefix_coincidence(vectors.knn(v, v, 10), semantic_ids.quantize(v, _codebook(spark, sf), "vec_id", "embedding"), 3, spread("vec_id", 5))
+
+
+_WORDS = "(select vec_id // 16 as level, (vec_id % 16)::int as code, list_transform(v, lambda x: x / 2 ** (vec_id // 16)) as w from (select vec_id, embedding::double[] as v from embeddings) where vec_id < 48)"
+
 
+@query(f"with b as {_WORDS} select e.vec_id as vec_id, list_transform(range(1, 65), lambda i: round(x.w[i] + y.w[i] + z.w[i], 9)) as decoded from (select vec_id, vec_id % 16 as i, (vec_id * 7) % 16 as j, (vec_id * 3 + 1) % 16 as k from embeddings) e join b x on x.level = 0 and x.code = i join b y on y.level = 1 and y.code = j join b z on z.level = 2 and z.code = k", views=False)
+def decoded_codes(spark, sf):
+    k = F.col("vec_id")
+    codes = F.array((k % 16).cast("int"), (k * 7 % 16).cast("int"), ((k * 3 + 1) % 16).cast("int"))
+    out = _vectors(spark, sf).select("vec_id", semantic_ids.decode(codes, _codebook(spark, sf)).alias("v"))
+    return out.select("vec_id", F.transform("v", lambda x: F.round(x, 9)).alias("decoded"))
 
-@query(f"""with d as (select 1 - list_cosine_similarity(a.v, b.v) as x, 1 - list_cosine_similarity(a.v[1:32], b.v[1:32]) as y from {_V} a join {_V} b on a.vec_id < b.vec_id where a.vec_id < 200 and b.vec_id < 200),
+
+@query(f"""with d as (select 1 - list_cosine_similarity(a.v, b.v) as x, 1 - list_cosine_similarity(a.v[1:32], b.v[1:32]) as y from {_V} a join {_V} b on a.vec_id < b.vec_id),
     r as (select x, y, rank() over (order by round(x, 12)) + (count(*) over (partition by round(x, 12)) - 1) / 2.0 as rx, rank() over (order by round(y, 12)) + (count(*) over (partition by round(y, 12)) - 1) / 2.0 as ry from d)
     select count(*) as pairs, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman from r""", views=False)
 def rsa_corr(spark, sf):
-    v = _vectors(spark, sf).where("vec_id < 200").select("vec_id", F.col("embedding").alias("a"), F.slice("embedding", 1, 32).alias("b"))
+    v = _vectors(spark, sf).select("vec_id", F.col("embedding").alias("a"), F.slice("embedding", 1, 32).alias("b"))
     return vectors.rsa(v, "a", "b", "vec_id")
 
 
@@ -698,7 +729,7 @@ def learning_curve(spark, sf):
     return statistics.over_seeds(e, ["arm", "step"], "value")
 
 
-@query("select p_partkey from (select p_partkey, row_number() over (order by (p_partkey * 2654435761 + 42) % 2147483648, p_partkey) as rn from part) where rn <= 50 order by p_partkey", views=False)
+@query(f"select p_partkey from (select p_partkey, row_number() over (order by {spread_sql('p_partkey', 42)}, p_partkey) as rn from part) where rn <= 50 order by p_partkey", views=False)
 def sample_then_sort(spark, sf):
     return table(spark, sf, "part").select("p_partkey").orderBy(spread("p_partkey", 42), "p_partkey").limit(50).orderBy("p_partkey")
 
@@ -728,25 +759,122 @@ def conversation_threads(spark, sf):
     return c.groupBy("conv_id").agg(F.transform(turns, lambda t: t["m"]).alias("conversations"), F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
 
 
-@query("select level, bucket, sum(n)::bigint as n_tokens from (select level, code as bucket, len(string_split(title, ' ')) as n from (select 'A' as level, A as code, title from sids union all select 'B', B, title from sids union all select 'C', C, title from sids)) group by all")
+@query("""select bucket, token, count(*) as n from (select bucket, unnest(w) as token from (select (k * 256 + code)::int as bucket, code, string_split(title, ' ') as w from (select 0 as k, A as code, title from sids union all select 1, B, title from sids union all select 2, C, title from sids union all select 3, D, title from sids)) where code < 256) group by all""")
 def token_buckets(spark, sf):
-    stacked = sids(spark, sf).select(F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.col(x).alias("bucket")) for x in "ABC"))).alias("s"), F.size(X.words(F.col("title"))).alias("n"))
-    return stacked.groupBy("s.level", "s.bucket").agg(F.sum("n").alias("n_tokens"))
+    return semantic_ids.token_buckets(sids(spark, sf), X.words(F.col("title")))
 
 
 @query("select a.item_id as item_id, a.title as title_a, b.title as title_b from sids a left join sids b on b.A = a.A and b.B = a.B and b.C = a.C and b.D = a.D + 1")
 def two_lookups(spark, sf):
     a = sids(spark, sf).select("item_id", F.col("title").alias("title_a"), *semantic_ids.LEVELS)
-    b = sids(spark, sf).select("A", "B", "C", (F.col("D") - 1).cast("smallint").alias("D"), F.col("title").alias("title_b"))
+    b = sids(spark, sf).select("A", "B", "C", (F.col("D") - 1).alias("D"), F.col("title").alias("title_b"))
     return a.join(b, list(semantic_ids.LEVELS), "left").select("item_id", "title_a", "title_b")
 
 
 @query()
 def descriptive_block(spark, sf):
-    return statistics.paired_bootstrap(ranking.beam_metrics(predictions(spark, sf)), "task", "sample_id", "rr", "ndcg", times=1000).select("task", "n", "delta", "lo", "hi")
+    return statistics.paired_bootstrap(ranking.beam_metrics(predictions(spark, sf)), "task", "sample_id", "rr", "ndcg").select("task", "n", "delta", "lo", "hi")
 
 
 @query()
 def packed_sequences(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.sequence(F.lit(1), F.col("p_size")).alias("ids")).repartition(1)
-    return statistics.packed(rows, "p_partkey", "ids", 64)
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 64).alias("shard"), F.sequence(F.lit(1), F.col("p_size")).alias("ids"))
+    return statistics.packed(rows, "p_partkey", "ids", 64, shard="shard")
+
+
+_RANKED = "('0x' || substr(md5('{seed}|' || type || '|' || instruction || '|' || output), 1, 7))::bigint"
+
+
+def _conversation_sql(seed: int, frac: float) -> str:
+    parts = " union all ".join(f"select instruction, output, '{k}' as type from ({_SAMPLE_SQL[k]})" for k in ("sid_to_title", "sid_to_category", "seq_last_3"))
+    rank = _RANKED.format(seed=seed)
+    return f"select instruction, output, type, position, case when position < (floor(n * {frac}))::bigint then 'val' else 'train' end as split from (select *, row_number() over (order by {rank}, type, instruction, output) - 1 as position, count(*) over () as n from ({parts}) where length(instruction) > 0 and length(output) > 0)"
+
+
+@query(_conversation_sql(42, 0.05))
+def conversations_split(spark, sf):
+    made = S.union([S.sid_to_title(sids(spark, sf)), S.sid_to_category(sids(spark, sf)), S.seq_last_3(sid_sequences(spark, sf))])
+    return S.shuffled_split(made, 0.05, 42)
+
+
+_CLEANED = """(select item_id, p_partkey, case when p_partkey % 40 = 0 then null when p_partkey % 41 = 0 then 'abc' else title end as clean_title, case when p_partkey % 150 = 0 then null else description_text end as clean_description,
+    case when p_partkey % 11 <> 0 then [store] end as clean_features from items where p_partkey % 300 <> 1)"""
+
+
+def _cleaned(spark, sf):
+    k = F.col("p_partkey")
+    columns = [F.when(k % 40 == 0, None).when(k % 41 == 0, "abc").otherwise(F.col("title")).alias("clean_title"), F.when(k % 150 != 0, F.col("description_text")).alias("clean_description"), F.when(k % 11 != 0, F.array("store")).alias("clean_features")]
+    return items(spark, sf).where("p_partkey % 300 <> 1").select("item_id", "p_partkey", *columns)
+
+
+_EXTRACTED = """(select item_id, p_partkey, main_category as product_type, case when p_partkey % 3 = 0 then 'dog' when p_partkey % 3 = 1 then 'wolf' end as pet_species, case when p_partkey % 2 = 0 then 'adult' end as life_stage, case when p_partkey % 5 = 0 then 'play' end as primary_use_case, case when p_partkey % 4 <> 0 then [store, 'steel'] end as material_or_active from items)"""
+
+
+def _extracted(spark, sf):
+    k = F.col("p_partkey")
+    columns = [F.col("main_category").alias("product_type"), F.when(k % 3 == 0, "dog").when(k % 3 == 1, "wolf").alias("pet_species"), F.when(k % 2 == 0, "adult").alias("life_stage"), F.when(k % 5 == 0, "play").alias("primary_use_case"), F.when(k % 4 != 0, F.array(F.col("store"), F.lit("steel"))).alias("material_or_active")]
+    return items(spark, sf).select("*", *columns)
+
+
+def _there(t, columns, lists):
+    return " union all ".join([f"select '{t}' as tbl, 'column_{c}' as item, 1.0::double as value, 'OK' as verdict" for c in columns] + [f"select '{t}', 'list_{c}', 1.0, 'OK'" for c in lists])
+
+
+def _kept(t, f, warn):
+    return f"select '{t}' as tbl, 'kept_rows' as item, round(v, 6) as value, case when v > 1 then 'FAIL' when v >= 1 then 'OK' when v >= {warn} then 'WARN' else 'FAIL' end as verdict from (select (select count(*) from {f}) / (select count(*) from items)::double as v)"
+
+
+_INF = "1e300"
+
+
+@query(" union all ".join([_kept("cleaned", _CLEANED, 1), _there("cleaned", quality.CLEAN, ("clean_features",))] + [_gate(f"null_{c}", f"avg(({c} is null)::int)", 0.01, 0.05, False).format(t="cleaned", f=_CLEANED) for c in quality.CLEAN] + [_gate("short_clean_titles", "count(*) filter (length(clean_title) < 5)", 1, _INF, False).format(t="cleaned", f=_CLEANED)]))
+def cleaned_report(spark, sf):
+    return quality.cleaned_report(_cleaned(spark, sf), items(spark, sf))
+
+
+@query(" union all ".join([_kept("metadata", _EXTRACTED, 1), _there("metadata", quality.EXTRACTED, ("material_or_active",))] + [_gate(c, f"1 - avg(({c} is null)::int)", 0.7, 0.4).format(t="metadata", f=_EXTRACTED) for c in quality.EXTRACTED] + [_gate(f"odd_{c}", f"count(*) filter ({c} not in {known})", 1, _INF, False).format(t="metadata", f=_EXTRACTED) for c, known in (("pet_species", quality.SPECIES), ("life_stage", quality.STAGES))]))
+def metadata_report(spark, sf):
+    return quality.metadata_report(_extracted(spark, sf), items(spark, sf))
+
+
+_ENRICHED = """'Title: ' || coalesce(title, '') || E'\\nDescription: ' || coalesce(description_text, '') || E'\\nCategory: ' || coalesce(categories_text, main_category, '') || E'\\nFeatures: ' || coalesce(features_text, '') || E'\\nPet Species: ' || coalesce(pet_species, 'N/A')
+    || E'\\nProduct Type: ' || coalesce(product_type, 'N/A') || E'\\nLife Stage: ' || coalesce(life_stage, 'N/A') || E'\\nPrimary Use Case: ' || coalesce(primary_use_case, 'N/A') || E'\\nMaterial/Active: ' || coalesce(array_to_string(material_or_active, ', '), 'N/A')"""
+_FULL = f"(select x.* exclude (p_partkey), i.* exclude (item_id) from items i join {_EXTRACTED} x using (item_id))"
+
+
+@query(f"select item_id, {_ENRICHED} as item_context from {_FULL}")
+def enriched_context(spark, sf):
+    df = _extracted(spark, sf)
+    return df.select("item_id", I.enriched_context(df).alias("item_context"))
+
+
+_MERGED = f"(select item_id, title, description_text, case when p_partkey % 50 = 0 then null else features_text end as features_text, {_ENRICHED} as item_context from {_FULL} where p_partkey % 200 <> 7)"
+
+
+@query(" union all ".join([_kept("merged", _MERGED, 0.99), _there("merged", ("title", "description_text", "features_text", "item_context"), ())] + [_gate(n, v, a, b, False).format(t="merged", f=_MERGED) for n, v, a, b in (("surplus_keys", "count(*) - count(distinct item_id)", 1, 1), *((f"null_{c}", f"avg(({c} is null)::int)", 0.001, 0.02) for c in ("title", "description_text", "features_text")), ("empty_contexts", "count(*) filter (length(item_context) = 0)", 1, 1), ("short_contexts", "count(*) filter (length(item_context) < 100)", 1, _INF))] + [_gate("sequence_items", "count(k) / count(*)::double", 0.99, 0.95).format(t="merged", f=f"(select distinct item_id from numbered) left join (select distinct item_id, 1 as k from {_MERGED}) using (item_id)")]))
+def merged_report(spark, sf):
+    df = _extracted(spark, sf).where("p_partkey % 200 <> 7")
+    df = df.withColumn("item_context", I.enriched_context(df)).withColumn("features_text", F.expr("case when p_partkey % 50 <> 0 then features_text end"))
+    return quality.merged_report(df.select("item_id", "title", "description_text", "features_text", "item_context"), items(spark, sf), user_sequences(spark, sf))
+
+
+@query("select p_partkey, coalesce(case when p_partkey % 3 <> 0 then features_text end, case when p_partkey % 6 <> 0 then store end) as features_text, try_cast(case when p_partkey % 4 = 0 then '12' when p_partkey % 4 = 1 then '4.5x' when p_partkey % 4 = 2 then '' end as int) as number from items")
+def fallbacks(spark, sf):
+    k = F.col("p_partkey")
+    df = items(spark, sf).select("p_partkey", F.when(k % 3 != 0, F.col("features_text")).alias("features_text"), F.when(k % 6 != 0, F.col("store")).alias("original_features_text"), F.when(k % 4 == 0, "12").when(k % 4 == 1, "4.5x").when(k % 4 == 2, "").alias("raw"))
+    return I.features_or_original(df).select("p_partkey", "features_text", I.lenient(F.col("raw"), "int").alias("number"))
+
+
+@query("select event_type, user_id, avg(x)::double as a, avg(y)::double as b from (select event_type, user_id, case when event_id % 2 = 0 then m end as x, case when event_id % 2 = 1 then m end as y from (select event_type, user_id, event_id, max(event_id) over (partition by event_type, user_id, event_id % 2) as m from events)) group by all having a is not null and b is not null", views=False)
+def paired_arms(spark, sf):
+    e = table(spark, sf, "events")
+    arms = [e.where(F.col("event_id") % 2 == k).groupBy("event_type", "user_id").agg(F.max("event_id").cast("double").alias("v")) for k in (0, 1)]
+    return statistics.paired_arms(*arms, "event_type", "user_id", "v")
+
+
+@query("select p_partkey, list_transform(range(1, 11), lambda i: case when i between 4 and 6 then i when i between 9 and 10 and p_partkey % 2 = 0 then i else -100 end)::int[] as labels from part", views=False)
+def label_masks(spark, sf):
+    # a template 2, 3 at the second place, an end 6, and for even keys a second template at the seventh
+    ids = F.expr("transform(sequence(1, 10), i -> case when i = 7 and p_partkey % 2 = 0 then 2 when i = 8 and p_partkey % 2 = 0 then 3 else i end)")
+    rows = table(spark, sf, "part").select("p_partkey", ids.alias("ids"))
+    return rows.select("p_partkey", statistics.masked(F.col("ids"), [2, 3], 6).alias("labels"))

@@ -160,3 +160,181 @@ def test_gates(spark):
     df = spark.createDataFrame([(0.9,), (0.5,), (0.1,)], "v double")
     assert [r[0] for r in df.select(quality.gate(F.col("v"), 0.7, 0.4)).collect()] == ["OK", "WARN", "FAIL"]
     assert [r[0] for r in df.select(quality.gate(F.col("v"), 0.2, 0.6, False)).collect()] == ["FAIL", "WARN", "OK"]
+
+
+def test_seeded_hash_of_large_keys(spark):
+    """No key overflows, both engines agree, and another seed gives another order, not the same one turned."""
+    import duckdb
+
+    from sidera.plans.registry import spread, spread_sql
+
+    keys = [0, 1, -5, 4 * 10**9, 10**12, 2**62, -(2**62), *range(2, 400)]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    got = {r.k: (r.a, r.b) for r in df.select("k", spread("k", 42).alias("a"), spread("k", 7).alias("b")).collect()}
+    con = duckdb.connect()
+    con.execute("create table t(k bigint)")
+    con.executemany("insert into t values (?)", [(k,) for k in keys])
+    assert got == {k: (a, b) for k, a, b in con.execute(f"select k, {spread_sql('k', 42)}, {spread_sql('k', 7)} from t").fetchall()}
+    assert all(0 <= x < 2**31 for v in got.values() for x in v)
+    first, second = (sorted(range(2, 400), key=lambda k: got[k][i]) for i in (0, 1))
+    turn = second.index(first[0])
+    assert sum(a == b for a, b in zip(first, second[turn:] + second[:turn])) < 40
+    split = sequences.split_exact(df, spread("k", 42), ["k"], 0.1, True)
+    assert split.where("split = 'val'").count() == len(keys) // 10
+
+
+def test_many_items_of_one_code(spark):
+    df = spark.range(40_000).selectExpr("id", "1 as A", "2 as B", "3 as C")
+    assert assign_d(df, "id").agg(F.max("D")).first()[0] == 39_999
+
+
+def test_neighbours_without_usable_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [1.0, None]), (8, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query, r.neighbour) for r in vectors.knn(df, df, 5).collect()}
+    assert got == {(a, b) for a in (1, 2, 8) for b in (1, 2, 8) if a != b}
+    assert vectors.knn(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def test_numbers_of_a_context(spark):
+    df = spark.createDataFrame([(9.5, 4.25), (4.25, 10.0), (12345678.0, 0.5), (None, None)], "price double, average_rating float")
+    got = [tuple(r) for r in df.select(items.plain_number(F.col("price")), items.plain_number(F.col("average_rating"))).collect()]
+    assert got == [("9.5", "4.25"), ("4.25", "10.0"), ("12345678", "0.5"), ("", "")]
+
+
+def test_enriched_context_without_extracted_columns(spark):
+    df = spark.createDataFrame([("t", None, None, None, "M")], "title string, description_text string, categories_text string, features_text string, main_category string")
+    want = "Title: t\nDescription: \nCategory: M\nFeatures: \nPet Species: N/A\nProduct Type: N/A\nLife Stage: N/A\nPrimary Use Case: N/A\nMaterial/Active: N/A"
+    assert df.select(items.enriched_context(df)).first()[0] == want
+    assert items.features_or_original(df).columns == df.columns
+
+
+def test_sample_sizes():
+    kinds = {"a": "sid_prediction", "b": "text_generation", "c": "other"}
+    assert samples.sample_sizes(kinds) == {"a": 1000, "b": 1000, "c": 200}
+    assert samples.sample_sizes(kinds, 50) == dict.fromkeys("abc", 50)
+    assert samples.sample_sizes(kinds, 50, 7) == {"a": 50, "b": 7, "c": 50} and samples.sample_sizes(kinds, None, 7)["b"] == 7
+
+
+def test_label_masks_by_a_plain_version(spark):
+    rng = np.random.default_rng(0)
+    for begin in ([1, 2], [1, 1], [3], [1, 2, 1]):
+        lists = [rng.integers(0, 5, rng.integers(0, 30)).tolist() for _ in range(150)] + [None]
+        df = spark.createDataFrame(list(enumerate(lists)), "k int, ids array<int>")
+        got = {r.k: r.m for r in df.select("k", statistics.masked(F.col("ids"), begin, 4).alias("m")).collect()}
+        assert got == {k: None if v is None else statistics.label_mask(v, begin, 4) for k, v in enumerate(lists)}
+
+
+def test_packs_by_a_plain_version(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, k % 3, list(range(1, int(rng.integers(0, 25))))) for k in range(200)]
+    got = statistics.packed(spark.createDataFrame(rows, "k int, s int, ids array<int>"), "k", "ids", 20, shard="s").collect()
+    for s in range(3):
+        mine = [v[:20] for k, t, v in rows if t == s]
+        want = [[x for k in p for x in mine[k]] for p in statistics.pack([len(v) for v in mine], 20)]
+        have = [r.ids[: r.used] for r in sorted((r for r in got if r.shard == s), key=lambda r: r.pack)]
+        assert have == [w for w in want if w] and all(len(r.ids) == 20 for r in got)
+
+
+def test_bootstraps_by_plain_resampling(spark):
+    """Ends of the intervals against resampling of the very samples, in their spread."""
+    rng = np.random.default_rng(2)
+    a, b = rng.random(300) < 0.5, rng.random(300) < 0.6
+    df = spark.createDataFrame([("t", k, float(x), float(y)) for k, (x, y) in enumerate(zip(a, b))], "task string, sample_id int, a double, b double")
+    pick = rng.integers(0, 300, (4000, 300))
+    means, deltas = np.sort(b[pick].mean(1)), (b.astype(float) - a)[pick].mean(1)
+    r = statistics.bootstrap_ci(df, "task", "b").first()
+    assert r.n == 300 and r.mean == pytest.approx(b.mean()) and r.lo == pytest.approx(means[100], abs=0.015) and r.hi == pytest.approx(means[3900], abs=0.015)
+    p = statistics.paired_bootstrap(df, "task", "sample_id", "a", "b").first()
+    lo, hi = np.quantile(deltas, (0.025, 0.975))
+    assert p.delta == pytest.approx((b.astype(float) - a).mean()) and p.lo == pytest.approx(lo, abs=0.02) and p.hi == pytest.approx(hi, abs=0.02)
+    sets = [(set(rng.integers(0, 200, 3).tolist()), set(rng.integers(0, 400, 4).tolist())) for _ in range(300)]
+    df = spark.createDataFrame([("t", k, [str(v) for v in x], [str(v) for v in y]) for k, (x, y) in enumerate(sets)], "task string, sample_id int, a array<string>, b array<string>")
+    c = statistics.coverage_bootstrap(df, "task", "sample_id", "a", "b", 400).first()
+    size = lambda p, k: len(set().union(*(sets[i][k] for i in set(p.tolist()))))
+    plain = [(size(p, 1) - size(p, 0)) / 400 for p in pick[:2000]]
+    assert c.n == 300 and c.delta == pytest.approx((size(np.arange(300), 1) - size(np.arange(300), 0)) / 400)
+    assert (c.lo, c.hi) == pytest.approx(tuple(np.quantile(plain, (0.025, 0.975))), abs=0.03)
+
+
+def test_hashed_cosine_and_rouge_by_plain_versions(spark):
+    import collections
+    import re
+
+    texts = [("the cat sat on the mat", "the cat sat on a mat by the cat"), ("one two", "three four"), ("", "words here"), ("a b c", "a b c"), ("same words same", "same words same")]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t struct<a:string,b:string>").select("k", "t.*")
+    got = {r.k: (r.cosine, r.rouge) for r in statistics.hashed_cosine(df, "a", "b").withColumn("rouge", statistics.rouge_l(F.split("a", " "), F.split("b", " "))).collect()}
+    for k, (x, y) in enumerate(texts):
+        grams = []
+        for t in (x, y):
+            w = re.findall(r"\b\w\w+\b", t)
+            grams.append(collections.Counter(w + [f"{p} {q}" for p, q in zip(w, w[1:])]))
+        p, q = grams
+        size = np.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
+        assert got[k][0] == pytest.approx(sum(v * q[g] for g, v in p.items()) / size if size else 0.0)
+        a, b = x.split(" "), y.split(" ")
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert got[k][1] == pytest.approx(2 * table[-1, -1] / (len(a) + len(b)))
+
+
+def test_residual_codes_and_prefixes_by_plain_versions(spark):
+    from sidera.operators import semantic_ids
+
+    rng = np.random.default_rng(4)
+    v, book = rng.standard_normal((300, 6)), [(rng.standard_normal((8, 6)) / 2**k).tolist() for k in range(3)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    codes = semantic_ids.quantize(df, book, "vec_id", "embedding")
+    rows = {r.vec_id: r for r in codes.withColumn("back", semantic_ids.decode(F.col("codes"), book)).collect()}
+    plain = {}
+    for k, x in enumerate(v):
+        rest, plain[k] = x.copy(), []
+        for words in np.array(book):
+            plain[k].append(int(((rest - words) ** 2).sum(1).argmin()))
+            rest = rest - words[plain[k][-1]]
+        assert rows[k].codes == plain[k] and np.allclose(rows[k].residual, rest) and np.allclose(np.array(rows[k].back) + rest, x)
+    got = {r.length: r for r in vectors.prefix_coincidence(vectors.knn(df, df, 4), codes, 3, F.xxhash64("vec_id"), k=4, lots=2).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -9)
+    near = [(i, j) for i in range(300) for j in np.lexsort((np.arange(300), -s[i]))[:4]]
+    for length in (1, 2, 3):
+        assert got[length].n == len(near) and got[length].share == pytest.approx(np.mean([plain[i][:length] == plain[j][:length] for i, j in near]), abs=1e-6)
+        every = np.mean([plain[i][:length] == plain[j][:length] for i in range(300) for j in range(300) if i != j])
+        assert abs(got[length].random_share - every) < 0.06
+
+
+def test_kmeans_finds_groups_apart(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(5)
+    centres = np.array([[0, 0], [50, 0], [0, 50]])
+    rows = [(k, (centres[k % 3] + rng.standard_normal(2)).tolist()) for k in range(150)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    found = vectors.kmeans(df, "v", 3)
+    assert np.allclose(sorted(c.round(-1).tolist() for c in found.clusterCenters()), sorted(centres.tolist()))
+    code = {r.k: r.prediction for r in found.transform(df.select("k", array_to_vector("v").alias("v"))).collect()}
+    assert all((code[a] == code[b]) == (a % 3 == b % 3) for a in range(150) for b in range(0, 150, 7))
+    with_shift = spark.createDataFrame([(k, x, [y * 2 for y in x]) for k, x in rows], "k int, a array<double>, b array<double>")
+    x = np.array([r[1] for r in rows])
+    assert vectors.cka(with_shift, "a", "b") == pytest.approx(vectors.linear_cka(x, 2 * x)) == pytest.approx(1.0)
+    share = np.linalg.svd(x, compute_uv=False) ** 2
+    share /= share.sum()
+    assert vectors.effective_rank(df, "v") == pytest.approx(np.exp(-(share * np.log(share)).sum()))
+
+
+def test_initial_rows_and_targets(spark):
+    rng = np.random.default_rng(6)
+    table = rng.standard_normal((400, 12)) @ rng.standard_normal((12, 12))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(table)], "k int, v array<double>")
+    mean, cov = vectors.moments(df, "v")
+    assert np.allclose(mean, table.mean(0)) and np.allclose(cov, np.cov(table.T))
+    drawn = vectors.initial_rows("mvn", 20_000, 12, 1, mean, cov)
+    assert np.allclose(np.cov(drawn.T), cov, atol=0.08 * np.abs(cov).max()) and np.array_equal(drawn, vectors.initial_rows("mvn", 20_000, 12, 1, mean, cov))
+    book = rng.standard_normal((50, 5))
+    far = vectors.initial_rows("projected", 50, 12, 2, codebook=book)
+    assert np.allclose(np.linalg.norm(far[:, None] - far[None], axis=2), np.linalg.norm(book[:, None] - book[None], axis=2))
+    assert np.linalg.norm(vectors.rescale(far, 3.0)) == pytest.approx(3.0)
+    assert vectors.frobenius_target(table, 100) == pytest.approx(np.sqrt((table**2).sum() / 4), rel=0.05)
