@@ -74,7 +74,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def char_f1(a: Column, b: Column) -> Column:
     """F1 of two multisets of characters without white space; both empty is 1, one empty 0."""
-    x, y = (F.regexp_replace(F.lower(c), r"(?U)\s+", "") for c in (a, b))
     count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
-    common = F.aggregate(F.array_distinct(F.filter(F.split(x, ""), lambda ch: ch != "")), F.lit(0), lambda n, ch: n + F.least(count(x, ch), count(y, ch)))
-    return F.when((F.length(x) == 0) & (F.length(y) == 0), 1.0).when((F.length(x) == 0) | (F.length(y) == 0) | (common == 0), 0.0).otherwise(2.0 * common / (F.length(x) + F.length(y)))
+
+    def f1(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        common = F.aggregate(F.array_distinct(F.filter(F.split(x, ""), lambda ch: ch != "")), F.lit(0), lambda n, ch: n + F.least(count(x, ch), count(y, ch)))
+        return F.when((F.length(x) == 0) & (F.length(y) == 0), 1.0).when((F.length(x) == 0) | (F.length(y) == 0) | (common == 0), 0.0).otherwise(2.0 * common / (F.length(x) + F.length(y)))
+
+    bare = F.struct(*(F.regexp_replace(F.lower(c), r"(?U)\s+", "").alias(n) for n, c in (("x", a), ("y", b))))
+    return F.get(F.transform(F.array(bare), f1), F.lit(0))  # bound once, not made again for every character
