@@ -111,11 +111,11 @@ class Codec:
     """Encodes and decodes with the pieces of one model file."""
 
     #: Distinct segments that are kept at once.
-    KEEP = 300_000
+    KEEP = 200_000
     #: Characters of segments that are kept at once.
     KEEP_CHARS = 30_000_000
     #: Characters of segments that are solved at once.
-    PIECE = 100_000
+    PIECE = 50_000
     #: Bytes from which a segment is cut in lanes of LANE bytes, each begun WARM bytes early.
     LONG, LANE, WARM = 8192, 1024, 256
 
