@@ -41,7 +41,7 @@ RADIUS, BITS, TURNS, MOST_BITS, SHARE, LEAST, NEAR = 13, 256, 36, 24, 0.02, 4, 3
 #: Words of a descriptor that have a table, and matches found there that make a pair of pictures a candidate.
 TABLES, SEED = 8, 2
 #: Bytes of entries in a bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 PAD = RADIUS + 3
 
 
