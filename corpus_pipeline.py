@@ -22,7 +22,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; all documents stay."""
+    """Texts that the stored ledger lacks are scanned, and secrets found are replaced in the text; all documents stay."""
     return secret_ledger.stage(docs)
 
 

@@ -45,6 +45,35 @@ def test_secrets_of_all_names_noises_and_whole_keys(spark):
     assert rows(got) == rows(duckdb.sql(secret_ledger.oracle()).df())
 
 
+def test_pipeline_scans_with_a_stored_ledger(spark, tmp_path):
+    """The pipeline's stage scans what its ledger lacks, keeps the findings for later runs, and redacts by them."""
+    import corpus_pipeline
+    from sidera.llm.common import shared_folder
+
+    secret, schema = f"key AKIA{'Q7R8S9T0' * 2} end {tmp_path.name}", "doc_id bigint, text string, n_chars bigint"
+    clean = "key [aws_access_key redacted] end " + tmp_path.name
+    rows_ = [(1, secret, 1), (2, secret, 1), (3, "my token " + tmp_path.name, 1), (4, None, None), (5, "plain " + tmp_path.name, 1), (None, secret, 1)]
+    docs = spark.createDataFrame(rows_, schema)
+    blob = lambda df: {r[0] for r in df.select(F.sha2("text", 256)).where("text is not null").collect()}
+    want = collections.Counter([(1, clean, len(clean)), (2, clean, len(clean)), *rows_[2:5], (None, clean, len(clean))])
+    assert collections.Counter(map(tuple, corpus_pipeline.redact_secrets(spark, docs, "").collect())) == want
+    stored = spark.read.parquet(f"{shared_folder(spark)}/secret-ledger/ledger")
+    assert blob(docs) <= {r.blob for r in stored.collect()}
+
+    at = f"file://{tmp_path}/ledger"
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    for _ in range(2):  # the second time nothing is left to scan
+        assert collections.Counter(map(tuple, secret_ledger.stage(docs, folder=at).collect())) == want
+        assert sorted(r.blob for r in read("ledger").collect()) == sorted(blob(docs)) and read("findings").count() == 1
+    more = docs.unionByName(spark.createDataFrame([(8, f"ghp_{'a1' * 18} " + tmp_path.name, 9)], schema))
+    assert "[github_token redacted] " + tmp_path.name in {r.text for r in secret_ledger.stage(more, folder=at).collect()}
+    assert sorted(r.blob for r in read("ledger").collect()) == sorted(blob(more)) and read("findings").count() == 2
+    # a rule's new version is scanned with, and alone
+    rules = tuple(secret_ledger.Rule(r.rule_id, r.version + 1, r.pattern, r.words) if r.rule_id == "github_token" else r for r in secret_ledger.RULES)
+    assert "[github_token redacted] " + tmp_path.name in {r.text for r in secret_ledger.stage(more, folder=at, rules=rules).collect()}
+    assert {tuple(r.scanned) for r in read("ledger").collect() if len(r.scanned) < len(rules)} == {("github_token@2",)}
+
+
 @pytest.mark.parametrize("sizes", [(100_000, 100_000, 100_000, 100_000, 1), (400_000, 200_000, 100_000, 50_000, 10), (100_000, 100_000, 100_000, 500), (100_000, 100_000, 100_000, 100_000, 1, 1)])
 def test_a_tiny_or_null_source_does_not_shrink_the_draw(sizes):
     blocks = {"" if k == len(sizes) - 1 else f"s{k}": n for k, n in enumerate(sizes)}
