@@ -5,11 +5,12 @@ and each block is decoded to the nearest point of the lattice E8; the points are
 kept under its own cell and asks for it and the `probes` neighbouring cells that lie nearest beyond it, reached by one
 of the 240 shortest lattice vectors in one block. Vectors that meet are verified by their exact cosine.
 
-Every row is a query and every partner counts: pairs have no cap. Equal vectors are hashed once and their pairs are
-made by a join of their own.
+Every row is a query and every partner counts: pairs have no cap. Equal vectors are hashed once. groups() gives one row
+an id, with its class and the number of its pairs; pairs() gives the pairs themselves, those of equal vectors by a join
+of their own.
 
 Cases: vectors that are null, empty, of length zero, or hold a null, NaN or infinity, and rows with a null id, are in
-no pair; vectors of different dimensions are never compared; rows that repeat an id count once (the least vector);
+no pair (such an id is a group of its own, a null id has no row); vectors of different dimensions are never compared; rows that repeat an id count once (the least vector);
 pairs are (lesser id, greater id), each once. Other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidera.llm.common import GOLD, durable, mix64
+from sidera.llm.common import GOLD, components, durable, mix64
 
 THRESHOLD, TABLES, BLOCKS, PROBES, SCALE = 0.95, 10, 2, 12, 2.2
 
@@ -124,8 +125,8 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cosine)], ["a", "b", "cosine"])
 
 
-def pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, cosine) of the pairs found whose cosine is at least the threshold."""
+def _close(vectors: DataFrame, threshold: float, tables: int, blocks: int, probes: int, scale: float, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, same) of every vector, (same, rep, n) of unequal ones, and (a, b, cosine) of those of them that are close, by rep."""
     v = F.col("v")
     if vectors.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
         vectors = vectors.withColumn(vector_col, F.col(vector_col).cast("array<double>"))
@@ -135,7 +136,7 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES
     kind = source.schema["id"].dataType.simpleString()
     # equal vectors: the least id stands for all of them
     by = source.select("id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("double").cast("string")), ","), 256).alias("same"))
-    reps = durable(by.groupBy("same").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"), F.count("*").alias("n")))
+    reps = durable(by.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     alone = source.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     # own cells are made apart from the asked ones: it costs less than to write all of them for two readers
     homes = alone.mapInArrow(_spread(tables, blocks, 0, scale, "a"), f"a {kind}, cell bigint")
@@ -143,16 +144,41 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES
     met = homes.join(asked, "cell").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (alone.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
     close = met.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_cosines, f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= threshold)
+    return by, reps, close
+
+
+def pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, cosine) of the pairs found whose cosine is at least the threshold."""
+    by, reps, close = _close(vectors, threshold, tables, blocks, probes, scale, id_col, vector_col)
     # back to all ids
-    many = reps.select("rep", "ids")
-    wide = close.join(many.select(F.col("rep").alias("a"), F.col("ids").alias("ia")), "a").join(many.select(F.col("rep").alias("b"), F.col("ids").alias("ib")), "b")
-    wide = wide.select(F.explode("ia").alias("x"), "ib", "cosine").select("x", F.explode("ib").alias("y"), "cosine")
-    twins = reps.where("n > 1").select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("cosine")).where("x < y")
+    one, two = (by.join(reps, "same").select("same", "n", F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("a", "x"), ("b", "y")))
+    wide = close.join(one.select("a", "x"), "a").join(two.select("b", "y"), "b").select("x", "y", "cosine")
+    twins = one.where("n > 1").join(two.select("same", "y"), "same").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
     every = wide.unionByName(twins) if threshold <= 1 else wide
     return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
 
 
+def groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, group_id, links) of every id: the least id that pairs() leads to, and in how many of its pairs the id is.
+
+    Equal vectors are counted, not expanded: what is written grows with the rows. An id in no pair is a group of its own.
+    """
+    by, reps, close = _close(vectors, threshold, tables, blocks, probes, scale, id_col, vector_col)
+    close = durable(close.select("a", "b"))
+    ends = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = ends.join(reps.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
+    twins = F.col("n") - 1 if threshold <= 1 else F.lit(0)
+    of_reps = reps.join(more, "rep", "left").join(components(close).withColumnRenamed("id", "rep"), "rep", "left")
+    of_reps = of_reps.select("same", F.coalesce("root", "rep").alias("group_id"), (F.coalesce("more", F.lit(0)) + twins).alias("links"))
+    found = by.join(of_reps, "same").select("id", "group_id", "links")
+    every = vectors.select(F.col(id_col).alias("id")).where("id is not null").distinct().join(found, "id", "left")
+    return every.select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def oracle(threshold: float = THRESHOLD, table: str = "embeddings", id_col: str = "vec_id", vector_col: str = "embedding") -> str:
-    """All pairs by brute force in DuckDB's SQL: what pairs() gives at full recall."""
-    one = f"(select {id_col} as id, {vector_col}::double[] as v from {table})"
-    return f"select x.id as a, y.id as b, round(list_cosine_similarity(x.v, y.v), 6) as cosine from {one} x join {one} y on x.id < y.id where list_cosine_similarity(x.v, y.v) >= {threshold}"
+    """All pairs by brute force and the groups they make, in DuckDB's SQL: what groups() gives at full recall."""
+    one = f"one as materialized (select {id_col} as id, {vector_col}::double[] as v from {table})"
+    ends = f"ends as materialized (select x.id as a, y.id as b from one x join one y on x.id <> y.id where list_cosine_similarity(x.v, y.v) >= {threshold})"
+    reach = "reach(id, other) as (select a, b from ends union select reach.id, ends.b from reach join ends on reach.other = ends.a)"
+    least, links = "(select id, min(other) as least from reach group by id)", "(select a, count(*) as n from ends group by a)"
+    return f"with recursive {one}, {ends}, {reach} select one.id as {id_col}, least(one.id, coalesce(r.least, one.id)) as group_id, coalesce(l.n, 0) as links from one left join {least} r on r.id = one.id left join {links} l on l.a = one.id"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sidera.llm import mixing, queries, secret_ledger
+from sidera.llm import lattice_hash, local_descriptors, mixing, queries, secret_ledger
 from tests.compare import rows
 
 
@@ -121,3 +121,28 @@ def test_draw_against_a_plain_version(spark):
             at[s] += n * block
         want |= {i: (lo, p) for p, i in enumerate(sorted(members, key=lambda i: (rank[i][1], i)))}
     assert got == want
+
+
+def grouped(ids, pairs):
+    """(id, least id of its group, number of its pairs) by a plain loop."""
+    root, links = {k: k for k in ids}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        lo, hi = sorted((root[a], root[b]))
+        root = {k: lo if r == hi else r for k, r in root.items()}
+        links[a] += 1
+        links[b] += 1
+    return sorted((k, root[k], links[k]) for k in ids)
+
+
+def test_near_vectors_have_one_row_each(spark, tmp_path):
+    """As many rows as ids, whatever the pairs: a group, one of equal vectors, and vectors that can't be compared."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 64))
+    group = x[:1] + 0.02 * rng.standard_normal((40, 64))
+    v = [*x.tolist(), *group.tolist(), *[x[1].tolist()] * 30, *(x[1:2] + 0.01).tolist(), None, [], [0.0] * 64]
+    df = spark.createDataFrame([*enumerate(v), (3, x[3].tolist()), (None, x[0].tolist())], "vec_id bigint, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.op2_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "group_id", "links").collect()))
+    pairs = [(r.a, r.b) for r in lattice_hash.pairs(df).collect()]
+    assert got == grouped(range(len(v)), pairs) and len(pairs) > 2 * len(v)
+    assert lattice_hash.groups(df.limit(0)).count() == 0
