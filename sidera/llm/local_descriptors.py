@@ -12,6 +12,8 @@ scaled, turned or edited in part are found.
 2. Pairs of pictures of which SEED such matches agree on a transform are candidates. Those with `least` are copies;
    of the others all corners are compared with all, so the tables need to find two matches of a copy only.
 
+copies() gives these pairs, groups() one row an id, with its class and the number of its pairs.
+
 Corners and matches travel packed by column and bucket, and each bucket is sorted in NumPy; the number of buckets follows
 from that of the corners, so a bucket's size doesn't grow with the table. Ids are whole numbers.
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidera.llm.common import durable, mix64
+from sidera.llm.common import components, durable, mix64
 
 SCALES = (1.0, 0.6)
 RADIUS, BITS, TURNS, MOST_BITS, SHARE, LEAST, NEAR = 13, 256, 36, 24, 0.02, 4, 3.0
@@ -376,6 +378,18 @@ def copies(media: DataFrame, least: int = LEAST, id_col: str = "media_id", heigh
     return found.where(F.col("agreeing") >= least).unionByName(again)
 
 
+def groups(media: DataFrame, least: int = LEAST, id_col: str = "media_id", **columns: str) -> DataFrame:
+    """(id, group_id, links) of every id: the least id that the pairs of copies() lead to, and in how many of them the id is.
+
+    An id in no pair, such as that of a picture that can't be read, is a group of its own; a null id has no row.
+    """
+    close = durable(copies(media, least, id_col, **columns).select("a", "b"))
+    links = close.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    every = media.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
+    found = every.join(components(close), "id", "left").join(links, "id", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def pictures(vectors: DataFrame, factor: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(media_id, height, width, pixels): each vector drawn as a smooth grey square, of `factor` dots a number; its mean
     fills up a square that it doesn't. Vectors that are null, empty or hold a null, NaN or infinity have null pixels."""

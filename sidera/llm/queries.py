@@ -45,8 +45,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table has pictures: each embedding is drawn as one."""
-    return local_descriptors.copies(local_descriptors.pictures(table(spark, sf_dir, "embeddings")))
+    """No table has pictures: each embedding is drawn as one. One row a picture: pairs grow with the square of a group."""
+    return local_descriptors.groups(local_descriptors.pictures(table(spark, sf_dir, "embeddings")))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,3 +146,16 @@ def test_near_vectors_have_one_row_each(spark, tmp_path):
     pairs = [(r.a, r.b) for r in lattice_hash.pairs(df).collect()]
     assert got == grouped(range(len(v)), pairs) and len(pairs) > 2 * len(v)
     assert lattice_hash.groups(df.limit(0)).count() == 0
+
+
+def test_pictures_have_one_row_each(spark, tmp_path):
+    """As many rows as ids, whatever the pairs: groups of noisy copies, and vectors that give no picture."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((20, 64))
+    v = [*x.tolist(), *(x[:1] + 0.02 * rng.standard_normal((12, 64))).tolist(), *[x[1].tolist()] * 3, None, [1.0]]
+    df = spark.createDataFrame([*enumerate(v), (3, x[3].tolist()), (None, x[0].tolist())], "vec_id bigint, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.op6_media_columns(spark, str(tmp_path)).select("media_id", "group_id", "links").collect()))
+    pairs = [(r.a, r.b) for r in local_descriptors.copies(local_descriptors.pictures(df)).collect()]
+    assert got == grouped(range(len(v)), pairs) and len(pairs) > 1.5 * len(v)
+    assert local_descriptors.groups(local_descriptors.pictures(df.limit(0))).count() == 0
