@@ -26,7 +26,7 @@ def first_rank(beams: Column, gold: Column, least: int, k: int = 10) -> Column:
 def beam_metrics(preds: DataFrame) -> DataFrame:
     """(task, sample_id, hit1, hit5, hit10, rr, ndcg): a null gold scores 0."""
     r = first_rank(F.col("beams"), F.col("gold"), 4)
-    ranked = preds.select("task", "sample_id", r.alias("r"))
+    ranked = preds.select("task", "sample_id", F.explode(F.array(r)).alias("r"))  # one row; found once, not for each metric and filter on it
     at = lambda k: F.coalesce(F.when(F.col("r") <= k, 1.0), F.lit(0.0)).alias(f"hit{k}")
     return ranked.select("task", "sample_id", at(1), at(5), at(10), F.coalesce(1.0 / F.col("r"), F.lit(0.0)).alias("rr"), F.coalesce(1.0 / F.log2(F.col("r") + 1.0), F.lit(0.0)).alias("ndcg"))
 
@@ -38,9 +38,13 @@ def beam_summary(preds: DataFrame) -> DataFrame:
 
 def hierarchical_summary(preds: DataFrame) -> DataFrame:
     """(task, level, hit5, hit10, mrr10) at each depth of agreement."""
-    ranks = preds.select("task", F.explode(F.array(*(F.struct(F.lit(n).alias("level"), first_rank(F.col("beams"), F.col("gold"), k + 1).alias("r")) for k, n in enumerate(NAMES)))).alias("x")).select("task", "x.*")
-    hit = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}")
-    return ranks.groupBy("task", "level").agg(hit(5), hit(10), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr10"))
+    depths = preds.select("task", F.transform(F.slice("beams", 1, 10), lambda p: depth(p, F.col("gold"))).alias("d"))  # once for all levels
+    at = lambda k: F.nullif(F.array_position(F.transform("d", lambda d: F.coalesce(d >= k, F.lit(False))), True), F.lit(0))
+    counts = depths.groupBy("task", *(at(k + 1).alias(n) for k, n in enumerate(NAMES))).agg(F.count("*").alias("c"))  # 11 ranks of each level at most
+    ranks = counts.select("task", "c", F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.col(n).alias("r")) for n in NAMES))).alias("x")).select("task", "c", "x.*")
+    mean = lambda v: F.round(F.sum(v * F.col("c")) / F.sum("c"), 6)
+    hit = lambda k: mean(F.when(F.col("r") <= k, 1.0).otherwise(0.0)).alias(f"hit{k}")
+    return ranks.groupBy("task", "level").agg(hit(5), hit(10), mean(F.coalesce(1.0 / F.col("r"), F.lit(0.0))).alias("mrr10"))
 
 
 def greedy_summary(preds: DataFrame) -> DataFrame:

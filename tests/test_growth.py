@@ -53,3 +53,19 @@ def test_neighbours_over_many_blocks(spark, monkeypatch):
     np.fill_diagonal(s, -9)
     want = {(i, int(j), r + 1) for i in range(700) for r, j in enumerate(np.lexsort((np.arange(700), -s[i]))[:4])}
     assert {(r.query, r.neighbour, r.rank) for r in vectors.knn(df, df, 4).collect()} == want
+
+
+def test_predictions_join_an_order_once(spark, sf):
+    """An order is no row for each of its predictions; parts past the last are the first again."""
+    from sidera.plans import fixtures
+
+    df = fixtures.predictions(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(-1, 9" not in plan and df.count() == fixtures.table(spark, sf, "orders").count()
+    parts = fixtures.table(spark, sf, "part").count()
+    code = {r.p_partkey: tuple(str(r[x]) for x in "ABCD") for r in fixtures.sids(spark, sf).select("p_partkey", *"ABCD").collect()}
+    keys = {r.o_orderkey: (r.o_custkey * 7 + r.o_orderkey) % parts for r in fixtures.table(spark, sf, "orders").collect()}
+    for r in df.where("sample_id % 7 = 3").collect():
+        k, g = r.sample_id, keys[r.sample_id]
+        assert r.gold == (None if k % 50 == 0 else code[g])
+        assert list(r.beams) == [None if (k + j) % 17 == 0 else code[g if j == k % 13 else (g + (j + 1) * (k % 5 + 1) * 8) % parts] for j in range(10)]
