@@ -69,3 +69,25 @@ def test_predictions_join_an_order_once(spark, sf):
         k, g = r.sample_id, keys[r.sample_id]
         assert r.gold == (None if k % 50 == 0 else code[g])
         assert list(r.beams) == [None if (k + j) % 17 == 0 else code[g if j == k % 13 else (g + (j + 1) * (k % 5 + 1) * 8) % parts] for j in range(10)]
+
+
+def test_counts_of_types_without_texts(spark, sf):
+    """Counted by numbers as by the texts of all samples; no pair's or history's text is shuffled."""
+    from sidera.plans import fixtures, registry, samples
+
+    names = ("seq_last_", "copurchase_")
+    texts = samples.all_samples(fixtures.sids(spark, sf), fixtures.sid_sequences(spark, sf)).groupBy("type").agg(F.count("*"), F.count_distinct("instruction"))
+    df = registry.QUERIES["type_distribution"](spark, sf)
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in texts.collect()}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(text in plan for text in ("might also buy", "Predict next")) and any(n in plan for n in names)
+
+
+def test_sequences_of_numbers(spark, sf):
+    """As by joining the items of each sequence after its cut."""
+    from sidera.operators import sequences
+    from sidera.plans import fixtures
+
+    want = sequences.to_sids(fixtures.user_sequences(spark, sf), fixtures.sids(spark, sf).select("item_id", "sid"))
+    got = fixtures.sid_sequences(spark, sf)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
