@@ -91,3 +91,13 @@ def test_sequences_of_numbers(spark, sf):
     want = sequences.to_sids(fixtures.user_sequences(spark, sf), fixtures.sids(spark, sf).select("item_id", "sid"))
     got = fixtures.sid_sequences(spark, sf)
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_picks_of_a_coverage_are_not_shuffled(spark):
+    from sidera.operators import statistics
+
+    df = spark.createDataFrame([("t", k, [f"x{k % 5}"], [f"x{k % 5}", f"x{k % 5}", f"y{k}"]) for k in range(40)], "g string, k int, a array<string>, b array<string>")
+    made = statistics.coverage_bootstrap(df, "g", "k", "a", "b", 100, times=200)
+    assert made.first().delta == pytest.approx(0.40)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [item" in plan and plan.count("Aggregate") == 2  # no distinct of rows before
