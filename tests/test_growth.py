@@ -101,3 +101,11 @@ def test_picks_of_a_coverage_are_not_shuffled(spark):
     assert made.first().delta == pytest.approx(0.40)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [item" in plan and plan.count("Aggregate") == 2  # no distinct of rows before
+
+
+def test_characters_beyond_the_first_plane(spark):
+    from sidera.functions import arrays
+
+    rows = [("a\U0001f600b", "\U0001f600 \U0001f600"), ("AbA", "baa"), ("", " "), ("x", ""), (None, "x"), ("abc", "def")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(arrays.char_f1(F.col("a"), F.col("b"))).collect()] == [pytest.approx(0.4), 1.0, 1.0, 0.0, None, 0.0]
